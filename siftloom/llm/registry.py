@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_quality_rules
+from . import q_quality_rules, q_url_filters, q_warc
 
-_MODULES = (q_quality_rules,)
+_MODULES = (q_quality_rules, q_url_filters, q_warc)
 
 
 def queries() -> dict:
