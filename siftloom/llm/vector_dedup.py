@@ -1,8 +1,9 @@
 """Embedding near-dedup by spherical-cap filters.
 
 A filter is a direction in space; it holds the vectors whose inner product with it exceeds a
-threshold. Directions come from a structured code: the rotated space is cut into three blocks
-with a random codebook each, and every triple of codewords is a direction. The triples above
+threshold. Directions come from a structured code: the rotated space is cut into two blocks
+with a random codebook each, and every pair of codewords is a direction (more blocks make the
+lists of some vectors much longer than others'). The pairs above
 the threshold are list-decoded from the blocks' products, sorted and cut off by bounds, so the
 cost follows the length of the list and not the number of directions. Near vectors share a
 filter with high probability; vectors are joined on filters and every pair is verified in
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-RECALL = 0.995
+RECALL = 0.99
 #: Vectors that a filter holds on average, about; members of a filter that meet in one block.
 PER_FILTER = 64
 BLOCK = 1024
-BLOCKS = 3
+BLOCKS = 2
 
 
 @dataclass
@@ -70,26 +71,24 @@ class CapFilters:
             order.append(np.argsort(-s))
             p.append(s[order[-1]])
         words, t = len(p[0]), self.threshold
-        # products fall along each block, so every prefix that can still reach the threshold is a range
-        n0 = np.searchsorted(-p[0], p[1][0] + p[2][0] - t, side="right")
-        pairs = p[0][:n0, None] + p[1][None, :]
-        i, j = np.nonzero(pairs + p[2][0] >= t)
-        k = np.searchsorted(-p[2], pairs[i, j] - t, side="right")
-        which = np.repeat(np.arange(len(k)), k)
-        rank = np.arange(len(which)) - np.repeat(np.cumsum(k) - k, k)
+        # products fall along each block, so what can still reach the threshold is a prefix
+        n = int(np.searchsorted(-p[0], p[1][0] - t, side="right"))
+        k = np.searchsorted(-p[1], p[0][:n] - t, side="right")
+        which = np.repeat(np.arange(n), k)
         if not len(which):
-            return np.array([(order[0][0] * words + order[1][0]) * words + order[2][0]], dtype=np.int64)
-        return np.sort((order[0][i[which]] * words + order[1][j[which]]) * words + order[2][rank]).astype(np.int64)
+            return np.array([order[0][0] * words + order[1][0]], dtype=np.int64)
+        rank = np.arange(len(which)) - np.repeat(np.cumsum(k) - k, k)
+        return np.sort(order[0][which] * words + order[1][rank]).astype(np.int64)
 
 
-def _blocks(rows: list[tuple], cosine: float) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(rows: list[tuple], cosine: float, kind: str, small: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(classes, ids, weighted links, label) of one filter's cell; rows are (filter, i, j, part, id, n, vector, filters, class)."""
     if len(rows) < 2:
         return
     here, i, j = rows[0][:3]
     left = np.array([r[3] == i for r in rows])
     ids, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-    x = np.array([np.frombuffer(r[6], np.float64) for r in rows])
+    x = np.array([np.frombuffer(r[6], kind) for r in rows]).astype(np.float64)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= cosine
     np.fill_diagonal(near, False)
@@ -98,7 +97,7 @@ def _blocks(rows: list[tuple], cosine: float) -> Iterator[tuple[list, np.ndarray
     if not near.any():
         return
     # a pair counts in the first filter that it shares
-    lists = [f[: np.searchsorted(f, here)] for f in (np.frombuffer(r[7], np.int64) for r in rows)]
+    lists = [f[: np.searchsorted(f, here)] for f in (np.frombuffer(r[7], "<i4" if small else "<i8") for r in rows)]
     which, column = np.unique(np.concatenate(lists), return_inverse=True)
     if len(which):
         row = np.repeat(np.arange(len(rows)), [len(f) for f in lists])
@@ -119,7 +118,7 @@ def _blocks(rows: list[tuple], cosine: float) -> Iterator[tuple[list, np.ndarray
         if (new == label).all():
             break
         label = new
-    yield [rows[k][8] for k in some], ids, links, label
+    yield np.array([rows[k][8] for k in some]), ids, links, label
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", embedding: str = "embedding", per_filter: int = PER_FILTER, block: int = BLOCK) -> DataFrame:
@@ -132,42 +131,45 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     id are one node of the components. Other columns are left out; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    kind, item = ("<f4", "float") if single else ("<f8", "double")
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{item}>").alias("v"))
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.forall("v", lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: F.coalesce(x != 0, F.lit(False))), F.lit(False))
-    fine = fine & F.coalesce(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) < float("inf"), F.lit(False))
-    rows = rows.select("vec_id", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0))).alias("v")).withColumn("dim", F.size("v"))
+    fine = fine & F.coalesce(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) < float("inf"), F.lit(False))
+    rows = rows.select("vec_id", F.when(fine, F.transform("v", lambda x: (x + F.lit(0.0)).cast(item))).alias("v")).withColumn("dim", F.size("v"))
     digest = F.when(F.col("v").isNotNull(), F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))
     rows = written(rows.withColumn("digest", digest), "vectors")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
-    classes = written(classes.withColumn("dim", F.size("v")), "classes")
+    classes = written(classes.withColumn("dim", F.size("v")).withColumn("class", F.monotonically_increasing_id()), "classes")
     dims = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()}
     codes = {}
     for dim, n in dims.items():
         words = max(8, round((24 * n / per_filter) ** (1 / BLOCKS)))
         codes[dim] = CapFilters.made(dim, words, cosine)
-    sent = spark.sparkContext.broadcast(codes)  # grows with the cube root of the number of vectors
+    sent = spark.sparkContext.broadcast(codes)  # grows with the square root of the number of vectors
+    small = all(len(c.books[0]) ** BLOCKS < 1 << 31 for c in codes.values())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, n, dim, v, digest = (b.column(k) for k in range(5))
-            x = [np.array(t) for t in v.to_pylist()]
+            ids, n, dim, v, own = (b.column(k) for k in range(5))
+            x = [np.array(t, dtype=np.float64) for t in v.to_pylist()]
             lists = [sent.value[d].decode(t / np.linalg.norm(t)) for d, t in zip(dim.to_pylist(), x, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, n, dim, pa.array([t.tobytes() for t in x], pa.binary()), pa.array([f.tobytes() for f in lists], pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64())), digest], names=["id", "n", "dim", "x", "list", "filters", "digest"])
+            yield pa.RecordBatch.from_arrays([ids, n, dim, pa.array([t.astype(kind).tobytes() for t in x], pa.binary()), pa.array([f.astype("<i4" if small else "<i8").tobytes() for f in lists], pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64())), own], names=["id", "n", "dim", "x", "list", "filters", "class"])
 
-    listed = written(classes.select("id", "n", "dim", "v", "digest").mapInArrow(decode, "id long, n long, dim int, x binary, list binary, filters array<long>, digest string"), "lists")
-    each = listed.select("dim", F.explode("filters").alias("filter"), "id", "n", "x", "list", "digest")
+    listed = written(classes.select("id", "n", "dim", "v", "class").mapInArrow(decode, "id long, n long, dim int, x binary, list binary, filters array<long>, class long"), "lists")
+    each = listed.select("dim", F.explode("filters").alias("filter"), "id", "n", "x", "list", "class")
     sizes = each.groupBy("dim", "filter").agg(F.count("*").alias("size")).where("size > 1")
     sizes = written(sizes.withColumn("parts", F.ceil(F.col("size") / block).cast("int")).drop("size"), "sizes")
-    each = each.join(sizes, ["dim", "filter"]).withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    each = each.join(sizes, ["dim", "filter"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = each.select("dim", "filter", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "x", "list", "digest")
+    cells = each.select("dim", "filter", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "x", "list", "class")
     cells = cells.repartition("dim", "filter", "i", "j").sortWithinPartitions("dim", "filter", "i", "j")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
 
         def done() -> list[pa.RecordBatch]:
-            return [pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *(pa.array(x, pa.int64()) for x in out)], names=["digest", "id", "links", "label"]) for own, *out in _blocks(rows, cosine)]
+            return [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["class", "id", "links", "label"]) for out in _blocks(rows, cosine, kind, small)]
 
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
@@ -178,9 +180,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
                 rows.append(r[1:])
         yield from done()
 
-    met = written(cells.mapInArrow(meet, "digest string, id long, links long, label long"), "met")
-    links = met.groupBy("digest").agg(F.sum("links").alias("links"))
-    classes = written(classes.select("digest", "id", "n").join(links, "digest", "left"), "classes")
+    met = written(cells.mapInArrow(meet, "class long, id long, links long, label long"), "met")
+    links = met.groupBy("class").agg(F.sum("links").alias("links"))
+    classes = written(classes.select("class", "digest", "id", "n").join(links, "class", "left"), "classes")
     placed = written(rows.join(classes, "digest", "left").select("vec_id", "id", (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "placed")
     edges = met.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(placed.where("vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b")))
     root = components(edges)
