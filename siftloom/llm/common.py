@@ -57,6 +57,18 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: Rows up to which a table of ids may be sent to all executors.
+MOST_SENT = 200_000
+
+
+def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """``df``, a written table, marked for a broadcast if it has at most ``most`` rows.
+
+    A larger one is joined by a shuffle.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

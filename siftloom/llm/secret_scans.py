@@ -11,10 +11,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, sent_if_small, written
 
 #: kind -> (pattern, group whose length counts, least length). Fixed values; the first three are
 #: the base kinds. A run of hexadecimal digits is maximal, so {32,} finds what + and a length test would.
@@ -28,9 +28,6 @@ KINDS = {
 BASE = ("assign", "access", "hex")
 RULE_VERSION = "1"
 
-#: Up to this many ids of repeated blobs are sent to all executors; more are joined by a shuffle.
-MOST_SENT_IDS = 200_000
-
 FOUND = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -44,6 +41,10 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, start, end) for start, _, kind, end in sorted(found)]
 
 
+def blob_name(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 class BlobLedger:
     """A folder of (blob_id, rule_version, found) rows; appended to, never rewritten."""
 
@@ -66,17 +67,15 @@ class BlobLedger:
         in which only blobs with findings take part. Null paths are scanned and kept. An empty
         table gives an empty one. Other columns are left out.
         """
-        blob = lambda t: F.unhex(F.sha2(F.coalesce(t, F.lit("")), 256))
-        rows = versions.select(F.col(path).alias("path"), blob(F.col(text)).alias("blob_id"))
+        rows = versions.select(F.col(path).alias("path"), blob_name(F.col(text)).alias("blob_id"))
         rows = written(rows, "versions")
         known = self.entries().where(F.col("rule_version") == rule_version).select("blob_id").distinct()
-        first = rows.groupBy("blob_id").agg(F.min("path").alias("first"), F.count("*").alias("n"))
-        again = rows.join(first.where("n > 1").select("blob_id", "first"), "blob_id").where("path > first").select("path", "blob_id")
+        first = rows.groupBy("blob_id").agg(F.min("path").alias("first"), F.max("path").alias("last")).where("last > first")
+        first = written(first.select("blob_id", "first"), "first")  # so that a hot blob's rows can be split in the join
+        again = rows.join(first, "blob_id").where("path > first").select("path", "blob_id")
         seen = rows.join(known, "blob_id", "left_semi").select("path", "blob_id")
-        skip = written(again.unionByName(seen).distinct(), "seen")
-        if skip.count() <= MOST_SENT_IDS:
-            skip = F.broadcast(skip)
-        todo = versions.select(F.col(path).alias("path"), F.col(text).alias("text"), blob(F.col(text)).alias("blob_id")).join(skip, ["path", "blob_id"], "left_anti")
+        skip = sent_if_small(written(again.unionByName(seen).distinct(), "seen"))
+        todo = versions.select(F.col(path).alias("path"), F.col(text).alias("text"), blob_name(F.col(text)).alias("blob_id")).join(skip, ["path", "blob_id"], "left_anti")
         self._add(todo, rule_version)
         found = self.entries().where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob_id", "found").dropDuplicates(["blob_id"])
         return rows.join(found, "blob_id", "left").select("path", "blob_id", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
@@ -98,8 +97,10 @@ def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "
     ``found`` is what ``scan`` gives for these rows. A column n_chars follows the new text.
     Rows without findings, null texts and other columns stay as they are.
     """
-    hits = found.where(F.size("found") > 0).select(F.col("path").alias("__key"), "found").dropDuplicates(["__key"])
-    rows = docs.select(F.col(key).alias("__key"), F.struct(*docs.columns).alias("__row")).join(hits, "__key", "left")
+    hits = found.where(F.size("found") > 0).select(F.col("path").alias("__k"), F.col("blob_id").alias("__b"), "found").dropDuplicates(["__k", "__b"])
+    hits = sent_if_small(written(hits, "hits"))
+    rows = docs.select(docs[key].alias("__key"), blob_name(docs[text]).alias("__blob"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    rows = rows.join(hits, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__blob") == F.col("__b")), "left")
     t = F.col(f"__row.{text}")
     ordered = F.sort_array(F.transform("found", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(False).alias("open"))
