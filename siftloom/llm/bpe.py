@@ -22,11 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: The pre-tokenizer's pattern. Fixed value.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Memos are emptied when they hold so many entries.
-MOST_KEPT = 300_000
+MOST_KEPT = 200_000
 #: A longer piece is worked out each time rather than kept.
 LONGEST_KEPT = 64
 
@@ -194,4 +196,4 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", decode: bool =
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=[*keep, "ids", "decoded"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "ids binary, decoded string"])
-    return docs.select(F.col(text).alias("__text"), *keep).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(text).alias("__text"), *keep), run, schema)

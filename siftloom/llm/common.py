@@ -69,6 +69,18 @@ def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Rows that travel to Python at once; texts may be long.
+BATCH_ROWS = 1000
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with small batches, so that a few of them fit any worker's memory."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,11 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import components, forget, shuffle_partitions, written
+from .common import components, forget, in_arrow, shuffle_partitions, written
 
 #: Members from which on a block is hot, and keys that a batch gathers before it is sent.
 HOT = 32
-FLUSH_KEYS = 1_000_000
+FLUSH_KEYS = 500_000
 FLUSH_DOCS = 20_000
 #: Up to this many ids of texts to compare are sent to all executors; more are joined by a shuffle.
 MOST_SENT_IDS = 200_000
@@ -239,7 +239,7 @@ def _sketched(docs: DataFrame, sim: Similarity, parts: int) -> DataFrame:
             k, i, none, none = _shared(np.concatenate(keys), np.concatenate(ids))
             yield from members(k, i)
 
-    return docs.mapInArrow(run, ROWS).repartitionById(parts, "bucket").mapInArrow(gather, ROWS).drop("bucket", "xs", "ys")
+    return in_arrow(in_arrow(docs, run, ROWS).repartitionById(parts, "bucket"), gather, ROWS).drop("bucket", "xs", "ys")
 
 
 def _close(x: str, y: str, sim: Similarity) -> Column:
@@ -274,7 +274,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], []))], names=["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return in_arrow(both.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, sim: Similarity | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

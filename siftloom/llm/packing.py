@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import Memo, byte_alphabet
-from .common import written
+from .common import in_arrow, written
 
 CAPACITY = 4096
 
@@ -139,7 +139,7 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(r[:, 2] + at // r[:, 3]), pa.array(r[:, 4] + at % r[:, 3] * size)], names=[*keep, "sequence_id", "offset"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "sequence_id long, offset long"])
-    return ranked.select(F.col(length).alias("__l"), "__rank", *keep).mapInArrow(run, schema)
+    return in_arrow(ranked.select(F.col(length).alias("__l"), "__rank", *keep), run, schema)
 
 
 class WordBPE:
@@ -207,7 +207,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 cols = zip(*out, strict=True) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return in_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:

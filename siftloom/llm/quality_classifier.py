@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Most labelled rows that a fit reads; those of the smallest hash of their id.
 MOST_ROWS = 4000
 WORD_BITS = 13
@@ -157,4 +159,4 @@ def score(docs: DataFrame, machine: Machine, least: float = 0.3) -> DataFrame:
             out = [m.score(t, n) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, pa.float64())], names=[*keep, "score"])
 
-    return df.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= least).cast("int"))
+    return in_arrow(df, run, schema).withColumn("predicted", (F.col("score") >= least).cast("int"))

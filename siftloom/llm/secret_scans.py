@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, sent_if_small, written
+from .common import in_arrow, new_path, sent_if_small, written
 
 #: kind -> (pattern, group whose length counts, least length). Fixed values; the first three are
 #: the base kinds. A run of hexadecimal digits is maximal, so {32,} finds what + and a length test would.
@@ -87,7 +87,7 @@ class BlobLedger:
                 spans = [[dict(kind=k, start=s, end=e) for k, s, e in find_spans(t)] if t else [] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], names=["blob_id", "found"])
 
-        out = todo.select("blob_id", "text").mapInArrow(run, f"blob_id binary, found {FOUND}")
+        out = in_arrow(todo.select("blob_id", "text"), run, f"blob_id binary, found {FOUND}")
         out.select("blob_id", F.lit(rule_version).alias("rule_version"), "found").write.mode("append").parquet(self.path)
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Rule lists up to this length travel to the executors with the code; longer ones are joined.
 MOST_SENT_RULES = 20_000
 
@@ -107,7 +109,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[UrlRule], url: str = "url", de
             new = [[p[0] for p in parts], [p[1] for p in parts], [f[0] for f in found], [f[1] or default for f in found]]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(x, pa.string()) for x in new)], names=[*keep, "host", "path", "rule", "verdict"])
 
-    return df.mapInArrow(run, (out + ", " if keep else "") + "host string, path string, rule string, verdict string")
+    return in_arrow(df, run, (out + ", " if keep else "") + "host string, path string, rule string, verdict string")
 
 
 def join_rules(pages: DataFrame, rules: list[UrlRule], url: str = "url", default: str = "allow") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, in_arrow, written
 
 RECALL = 0.99
 #: Vectors that a filter holds on average, about; members of a filter that meet in one block.
@@ -156,7 +156,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
             lists = [sent.value[d].decode(t / np.linalg.norm(t)) for d, t in zip(dim.to_pylist(), x, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, n, dim, pa.array([t.astype(kind).tobytes() for t in x], pa.binary()), pa.array([f.astype("<i4" if small else "<i8").tobytes() for f in lists], pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64())), own], names=["id", "n", "dim", "x", "list", "filters", "class"])
 
-    listed = written(classes.select("id", "n", "dim", "v", "class").mapInArrow(decode, "id long, n long, dim int, x binary, list binary, filters array<long>, class long"), "lists")
+    listed = written(in_arrow(classes.select("id", "n", "dim", "v", "class"), decode, "id long, n long, dim int, x binary, list binary, filters array<long>, class long"), "lists")
     each = listed.select("dim", F.explode("filters").alias("filter"), "id", "n", "x", "list", "class")
     sizes = each.groupBy("dim", "filter").agg(F.count("*").alias("size")).where("size > 1")
     sizes = written(sizes.withColumn("parts", F.ceil(F.col("size") / block).cast("int")).drop("size"), "sizes")
@@ -180,7 +180,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
                 rows.append(r[1:])
         yield from done()
 
-    met = written(cells.mapInArrow(meet, "class long, id long, links long, label long"), "met")
+    met = written(in_arrow(cells, meet, "class long, id long, links long, label long"), "met")
     links = met.groupBy("class").agg(F.sum("links").alias("links"))
     classes = written(classes.select("class", "digest", "id", "n").join(links, "class", "left"), "classes")
     placed = written(rows.join(classes, "digest", "left").select("vec_id", "id", (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "placed")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 CHUNK_BYTES = 256 * 1024
 END = "\r\n\r\n"
 
@@ -157,7 +159,7 @@ def read_chunks(spark: SparkSession, path: str, payload: bool = True) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 11, TYPES, strict=True)], names=NAMES)
         stream.end()
 
-    return rows.mapInArrow(run, CHUNKS)
+    return in_arrow(rows, run, CHUNKS)
 
 
 NAMES = [x.split()[0] for x in CHUNKS.split(", ")]
