@@ -10,8 +10,10 @@ rank among the pieces of its length.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,9 @@ CAPACITY = 4096
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: The same for lower-case ASCII texts, which the standard library splits faster.
+ASCII_WORDS = r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9]+"
+
 #: Texts with other characters go to the library whole: its Unicode tables may differ from regex's.
 USUAL = r"[^\x00-\u052f\u1e00-\u1eff\u2010-\u203a\u20a0-\u20b0\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
 
@@ -158,15 +163,19 @@ class WordBPE:
         self.special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.words = regex.compile(WORDS)
+        self.ascii_words = re.compile(ASCII_WORDS, re.ASCII)
         self.memo = Memo(self._word)
 
     def _word(self, word: str) -> bytes:
-        letters = self.letters
-        return np.array([t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))], dtype="<u4").tobytes()
+        if not (word.isascii() and word.isprintable()):  # printable ASCII stands for itself
+            letters = self.letters
+            word = "".join([letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _plain(self, text: str) -> list[bytes]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
+        if text.isascii():
+            return list(map(self.memo.__getitem__, self.ascii_words.findall(text.lower())))
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
         return list(map(self.memo.__getitem__, self.words.findall(text.lower())))
 
     def encode(self, text: str | None) -> bytes:
