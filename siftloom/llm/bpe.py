@@ -46,13 +46,13 @@ def byte_alphabet() -> list[str]:
 class Memo(dict):
     """A dict that works out what it lacks and never grows beyond a bound."""
 
-    def __init__(self, work):
-        self.work = work
+    def __init__(self, work, most: int = MOST_KEPT):
+        self.work, self.most = work, most
 
     def __missing__(self, key):
         value = self.work(key)
         if len(key) <= LONGEST_KEPT:
-            if len(self) >= MOST_KEPT:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value

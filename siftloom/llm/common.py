@@ -70,7 +70,7 @@ def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
 
 
 #: Rows that travel to Python at once; texts may be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:

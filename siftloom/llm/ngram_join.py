@@ -38,8 +38,8 @@ from .common import components, forget, in_arrow, shuffle_partitions, written
 
 #: Members from which on a block is hot, and keys that a batch gathers before it is sent.
 HOT = 32
-FLUSH_KEYS = 500_000
-FLUSH_DOCS = 20_000
+FLUSH_KEYS = 250_000
+FLUSH_DOCS = 10_000
 #: Up to this many ids of texts to compare are sent to all executors; more are joined by a shuffle.
 MOST_SENT_IDS = 200_000
 
@@ -57,7 +57,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _memo() -> Memo:
     kept = sys.__dict__.setdefault("_siftloom_words64", {})
     if not kept:
-        kept[0] = Memo(xxhash.xxh64_intdigest)
+        kept[0] = Memo(xxhash.xxh64_intdigest, 50_000)
     return kept[0]
 
 
