@@ -209,16 +209,20 @@ def risk_rank(tier: Column) -> Column:
     return F.when(tier == "critical", 3).when(tier == "high", 2).when(tier == "medium", 1).otherwise(0)
 
 
+#: What users see in a component's source: headings, labels, ids of fields, tabs. Fixed values.
+UI_PATTERNS = (
+    r"<h[1-4][^>]*>\s*([^<>{}\n]{2,40})",
+    r"<Label[^>]*>\s*([^<>{}\n]{2,40})",
+    r"htmlFor=\"([a-zA-Z0-9_-]{3,40})\"",
+    r"TabsTrigger[^>]*value=\"([a-zA-Z0-9_-]{2,30})\"",
+)
+
+
 def ui_surface(text: Column) -> Column:
-    """Visible labels of a component's source: headings, labels, ids they name, tab values."""
-    found = F.concat(
-        F.regexp_extract_all(text, F.lit(r"<h[1-4][^>]*>([^<>{}]+)</h[1-4]>"), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(r"<Label[^>]*>([^<>{}]+)</Label>"), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(r"htmlFor=[\"']([^\"']+)[\"']"), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(r"<TabsTrigger[^>]*value=[\"']([^\"']+)[\"']"), F.lit(1)),
-    )
-    found = F.filter(F.transform(found, lambda x: trimmed(x)), lambda x: F.length(x).between(2, 40) & ~x.rlike(r"[{}<>]"))
-    return F.substring(F.array_join(F.slice(F.array_distinct(found), 1, 40), " · "), 1, 800)
+    """Visible words of a component's source, each once, at most 40 of them."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in UI_PATTERNS])
+    found = F.filter(F.transform(found, lambda x: trimmed(x)), lambda x: F.length(x).between(2, 40))
+    return F.substring(F.array_join(F.slice(F.array_distinct(found), 1, 40), " | "), 1, 800)
 
 
 def module_of(directory: Column) -> Column:

@@ -244,13 +244,12 @@ def ui_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", T.ui_surface(F.coalesce("html", F.lit(""))).alias("surface"))
 
 
-UI_SQL = r"""
+UI_SQL = rf"""
 WITH a AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
-b AS (SELECT page_id, list_concat(list_concat(regexp_extract_all(t, '<h[1-4][^>]*>([^<>{}]+)</h[1-4]>', 1), regexp_extract_all(t, '<Label[^>]*>([^<>{}]+)</Label>', 1)),
-  list_concat(regexp_extract_all(t, 'htmlFor=["'']([^"'']+)["'']', 1), regexp_extract_all(t, '<TabsTrigger[^>]*value=["'']([^"'']+)["'']', 1))) AS f FROM a),
-c AS (SELECT page_id, list_filter(list_transform(f, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) BETWEEN 2 AND 40 AND NOT regexp_matches(x, '[{}<>]')) AS f FROM b),
+b AS (SELECT page_id, list_concat({", ".join(f"regexp_extract_all(t, '{p}', 1)" for p in T.UI_PATTERNS)}) AS f FROM a),
+c AS (SELECT page_id, list_filter(list_transform(f, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) BETWEEN 2 AND 40) AS f FROM b),
 d AS (SELECT page_id, list_filter(f, lambda x, i: list_position(f, x) = i) AS f FROM c)
-SELECT page_id, coalesce(substr(array_to_string(f[1:40], ' · '), 1, 800), '') AS surface FROM d
+SELECT page_id, coalesce(substr(array_to_string(f[1:40], ' | '), 1, 800), '') AS surface FROM d
 """
 
 
