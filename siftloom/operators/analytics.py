@@ -150,3 +150,14 @@ def decisions_by_band(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, as an upsert leaves it."""
     return rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in key]), F.struct(*order)).alias("__r")).select(*key, "__r.*")
+
+
+def feature_list(features: DataFrame, limit: int = 90) -> DataFrame:
+    """The first active features by label."""
+    return features.orderBy("label", "id").limit(limit)
+
+
+def module_summary(artifacts: DataFrame) -> DataFrame:
+    """Files, symbols and the highest risk of every module."""
+    rank = F.max(F.when(F.col("kind") == "symbol", risk_rank(F.col("risk_tier"))))
+    return artifacts.groupBy("module").agg(F.count_if(F.col("kind") == "file").alias("files"), F.count_if(F.col("kind") == "symbol").alias("symbols"), rank.alias("risk_rank"))

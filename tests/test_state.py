@@ -188,3 +188,30 @@ def test_drift_and_demand(spark):
     vals = spark.createDataFrame([("a", x) for x in (0.6, 0.8, 0.9, 0.95)], "k string, v double")
     r = A.nearest_rank(vals, "k", "v", {"p50": 0.5}).first()
     assert r.n == 4 and r.p50 == 0.9 and r["mean"] == 0.813
+
+
+def test_events_and_module_summary(spark):
+    a = spark.createDataFrame([("r1", "g", "new", 1), ("r2", "g", "embedding", 2), ("r3", "g", "resolution", 2)], G.ASSIGNED)
+    k = spark.createDataFrame([("g", "g"), ("h", "g")], "id string, keep string")
+    assert [(r.group_id, r.event_type) for r in G.events(a, k).collect()] == [("g", "CREATED"), ("g", "MEMBER_ADDED"), ("g", "STATUS_CHANGED"), ("h", "MERGED")]
+    arts = spark.createDataFrame([("m", "file", "low"), ("m", "symbol", "high"), ("m", "symbol", "medium"), ("n", "file", "low")], "module string, kind string, risk_tier string")
+    assert {tuple(r) for r in A.module_summary(arts).collect()} == {("m", 1, 2, 2), ("n", 1, 0, None)}
+    assert [r.id for r in A.feature_list(spark.createDataFrame([("1", "b"), ("2", "a")], "id string, label string"), 1).collect()] == ["2"]
+
+
+def test_mentions(spark):
+    from siftloom.operators.reviews import match_mentions
+
+    f = spark.createDataFrame([("f1", "Checkout", ["결제"], embedding_of("checkout").tolist()), ("f2", "Search box", None, embedding_of("search box").tolist())], "id string, label string, aliases array<string>, v array<double>")
+    m = spark.createDataFrame([("r", " 결제 "), ("r", "결제"), ("r", "SEARCH  BOX"), ("r", "something else"), ("r", ""), ("q", "checkout")], "id string, mention string")
+    got = {(r.id, r.mention): (r.feature_id, r.score, r.status) for r in match_mentions(m, f).collect()}
+    assert got == {("r", "결제"): ("f1", 1.0, "auto_verified"), ("r", "SEARCH  BOX"): ("f2", 1.0, "auto_verified"), ("r", "something else"): (None, got["r", "something else"][1], "unmatched"), ("q", "checkout"): ("f1", 1.0, "auto_verified")}
+
+
+def test_decisions(spark):
+    from siftloom.operators.insight import decide
+
+    p = spark.createDataFrame([("app", "bug_fix", "1", "t")], "repo string, kind string, ref_id string, title string")
+    q = spark.createDataFrame([("app", "bug_fix", "1", "approved", None, "me", 1), ("app", "bug_fix", "1", "rejected", "no", "me", 2), ("app", "bug_fix", "2", "approved", None, "me", 1), ("app", "bug_fix", "1", "approved", "x" * 2001, "me", 9), ("app", "bug_fix", None, "approved", None, "me", 1)], "repo string, kind string, ref_id string, decision string, note string, decided_by string, at int")
+    good, bad = decide(p, q)
+    assert [(r.decision, r.title_snap) for r in good.collect()] == [("rejected", "t")] and bad.count() == 3
