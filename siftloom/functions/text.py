@@ -129,24 +129,31 @@ def gibberish(c: Column) -> Column:
     return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, 1.0).when(F.length(t) < 3, 0.9).otherwise(F.least(F.lit(1.0), signs))
 
 
-def prefilter(c: Column) -> Column:
-    """struct(keep, reason, score): drops empty, over-long and spam texts before costly steps."""
-    t = trimmed(F.coalesce(c, F.lit("")))
-    solid = F.regexp_replace(t, SPACE, "")
-    ratio = F.when(F.length(solid) >= 8, F.size(F.array_distinct(F.split(solid, ""))) / F.length(solid)).otherwise(1.0)
-    links = F.regexp_count(t, F.lit("(?i)https?://"))
-    flood = F.when(ratio < 0.2, 0.85).when(t.rlike(r"(.)\1{7,}"), 0.5).otherwise(0.0)
-    bomb = F.when(links >= 3, 0.85).when(links == 2, 0.4).otherwise(0.0)
-    odd = F.when(F.length(F.regexp_replace(t, r"[\p{L}\p{N}]|" + SPACE, "")) / F.length(t) > 0.5, 0.5).otherwise(0.0)
-    score = F.least(F.lit(1.0), flood + bomb + odd)
+def with_prefilter(df, text: str, out: str = "pre"):
+    """``df`` plus struct(keep, reason, score): drops empty, over-long and spam texts before costly steps.
+
+    Each sign is a column of its own, so it is worked out once a text.
+    """
+    df = df.withColumn("__t", trimmed(F.coalesce(F.col(text), F.lit("")))).withColumn("__n", F.length("__t"))
+    df = df.withColumn("__t", F.when(F.col("__n").between(1, 8000), F.col("__t")))  # no sign counts beyond these lengths
+    t = F.col("__t")
+    df = df.withColumn("__solid", F.regexp_replace(t, SPACE, "")).withColumn("__m", F.length("__solid"))
+    df = df.withColumn("__ratio", F.when(F.col("__m") >= 8, F.size(F.array_distinct(F.split("__solid", ""))) / F.col("__m")).otherwise(1.0))
+    df = df.withColumn("__links", F.regexp_count(t, F.lit("(?i)https?://"))).withColumn("__odd", F.length(F.regexp_replace("__solid", r"[\p{L}\p{N}]", "")) / F.col("__n") > 0.5)
+    flood = F.when(F.col("__ratio") < 0.2, 0.85).when(t.rlike(r"(.)\1{7,}"), 0.5).otherwise(0.0)
+    bomb = F.when(F.col("__links") >= 3, 0.85).when(F.col("__links") == 2, 0.4).otherwise(0.0)
+    df = df.withColumn("__score", F.least(F.lit(1.0), flood + bomb + F.when(F.col("__odd"), 0.5).otherwise(0.0)))
+    df = df.withColumn("__spam", (F.col("__score") >= 0.4) & (F.col("__score") < 0.8) & (gibberish(t) > 0.7))
+    score = F.col("__score")
     row = lambda keep, reason, s: F.struct(F.lit(keep).alias("keep"), F.lit(reason).cast("string").alias("reason"), s.alias("score"))
-    return (
-        F.when(F.length(t) < 1, row(False, "empty", F.lit(1.0)))
-        .when(F.length(t) > 8000, row(False, "too_long", F.lit(0.7)))
+    verdict = (
+        F.when(F.col("__n") < 1, row(False, "empty", F.lit(1.0)))
+        .when(F.col("__n") > 8000, row(False, "too_long", F.lit(0.7)))
         .when(score >= 0.8, row(False, "heuristic_spam", score))
-        .when((score >= 0.4) & (gibberish(t) > 0.7), row(False, "llm_escalation_spam", F.greatest(score, F.lit(0.8))))
+        .when(F.col("__spam"), row(False, "llm_escalation_spam", F.lit(0.8)))
         .otherwise(row(True, None, score))
     )
+    return df.withColumn(out, verdict).drop("__t", "__n", "__solid", "__m", "__ratio", "__links", "__odd", "__score", "__spam")
 
 
 #: Words that always go to a person. Fixed values.

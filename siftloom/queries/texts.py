@@ -69,7 +69,7 @@ def _pii_sql() -> str:
 
 def prefilter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents the prefilter keeps or drops, by reason."""
-    docs = load(spark, sf_dir, "documents").select(T.prefilter(F.col("text")).alias("p"))
+    docs = T.with_prefilter(load(spark, sf_dir, "documents").select("text"), "text", "p")
     return docs.groupBy(F.coalesce("p.reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), T.rounded(F.max("p.score")).alias("max_score"))
 
 

@@ -33,7 +33,8 @@ def test_personal_data(spark):
 
 def test_prefilter(spark):
     rows = ["ㅋ" * 30, "a http://x http://y http://z", "로그인이 안 돼요", "", None, "a" * 24, "x" * 8001, "ab" * 30]
-    assert values(spark, rows, T.prefilter(F.col("x"))["reason"]) == ["heuristic_spam", "heuristic_spam", None, "empty", "empty", "heuristic_spam", "too_long", "heuristic_spam"]
+    got = T.with_prefilter(spark.createDataFrame([(x,) for x in rows], "x string"), "x").collect()
+    assert [r.pre.reason for r in got] == ["heuristic_spam", "heuristic_spam", None, "empty", "empty", "heuristic_spam", "too_long", "heuristic_spam"]
 
 
 def test_classify(spark):
