@@ -215,3 +215,15 @@ def test_decisions(spark):
     q = spark.createDataFrame([("app", "bug_fix", "1", "approved", None, "me", 1), ("app", "bug_fix", "1", "rejected", "no", "me", 2), ("app", "bug_fix", "2", "approved", None, "me", 1), ("app", "bug_fix", "1", "approved", "x" * 2001, "me", 9), ("app", "bug_fix", None, "approved", None, "me", 1)], "repo string, kind string, ref_id string, decision string, note string, decided_by string, at int")
     good, bad = decide(p, q)
     assert [(r.decision, r.title_snap) for r in good.collect()] == [("rejected", "t")] and bad.count() == 3
+
+
+def _at(angle):
+    return [float(np.cos(angle)), float(np.sin(angle))]
+
+
+def test_duplicate_with_five_nearer_later_reviews(spark):
+    from siftloom.operators.reviews import duplicates
+
+    rows = [("a", _at(0.0)), ("b", _at(0.16))] + [(f"c{i}", _at(0.1601 + i / 1e4)) for i in range(6)] + [(f"d{i}", _at(0.001 + i / 1e4)) for i in range(6)]
+    df = spark.createDataFrame([(s, v, 0) for s, v in rows], "seq string, v array<double>, simhash long")
+    assert {r.seq: r.duplicate_of for r in duplicates(df).collect()} == {s: None if s == "a" else "a" for s, _ in rows}
