@@ -227,3 +227,11 @@ def test_duplicate_with_five_nearer_later_reviews(spark):
     rows = [("a", _at(0.0)), ("b", _at(0.16))] + [(f"c{i}", _at(0.1601 + i / 1e4)) for i in range(6)] + [(f"d{i}", _at(0.001 + i / 1e4)) for i in range(6)]
     df = spark.createDataFrame([(s, v, 0) for s, v in rows], "seq string, v array<double>, simhash long")
     assert {r.seq: r.duplicate_of for r in duplicates(df).collect()} == {s: None if s == "a" else "a" for s, _ in rows}
+
+
+def test_reuse_with_twenty_nearer_later_reviews(spark):
+    from siftloom.operators.reviews import reuse
+
+    rows = [("a", _at(0.0)), ("b", _at(0.2))] + [(f"c{i:02d}", _at(0.2001 + i / 1e4)) for i in range(21)]
+    df = spark.createDataFrame([(s, v, 0.9) for s, v in rows], "seq string, v array<double>, k double").withColumn("c", F.struct(F.col("k").alias("category_confidence")))
+    assert {r.seq: r.reuses for r in reuse(df).collect()} == {s: "a" for s, _ in rows[1:]}
