@@ -57,16 +57,30 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-#: Rows up to which a table of ids may be sent to all executors.
+#: Rows, and bytes of its files, up to which a written table may be sent to all executors.
 MOST_SENT = 200_000
+MOST_SENT_BYTES = 16 << 20
+
+
+def _bytes(df: DataFrame) -> int | None:
+    """Bytes of the files of a ``written`` table."""
+    path = getattr(df, "_siftloom_path", None)
+    if path is None:
+        return None
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf).getContentSummary(p).getLength()
 
 
 def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
-    """``df``, a written table, marked for a broadcast if it has at most ``most`` rows.
+    """``df``, a ``written`` table, marked for a broadcast if it has at most ``most`` rows and ``MOST_SENT_BYTES``.
 
     A larger one is joined by a shuffle.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    size = _bytes(df)
+    if size is None:
+        raise ValueError("only a written table has a known size")
+    return F.broadcast(df) if size <= MOST_SENT_BYTES and df.count() <= most else df
 
 
 #: Rows that travel to Python at once; texts may be long.
