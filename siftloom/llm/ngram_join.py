@@ -6,8 +6,10 @@ tokens, and sets of Jaccard similarity >= num/den whose smaller one has a tokens
 most D = (den - num) * a / num of them. So sketches are cut into B = D + 1 + slack blocks of
 which similar sets share at least 1 + slack; joining on blocks, per band of set sizes, misses
 no pair. The blocks are so wide that few bits are set; a block is kept as a 64-bit hash of its
-set bits. Blocks without a set bit say nothing and are left out: a set with no more than
-``slack`` of them still shares another block with every similar set, the few other sets keep them.
+set bits. Blocks without a set bit say nothing, and those of one token, which may be frequent,
+say little. They are left out: a set with no more than ``slack`` of them still shares another
+block with every similar set, for a shared block has the same tokens in both; the other sets
+keep those of one token, and all where too many are empty.
 
 Work on pairs stays linear in the number of shared blocks:
 * equal sets of one batch are merged before anything is sent, and a block that one batch holds
@@ -117,7 +119,12 @@ class Similarity:
         return np.array([b[0] for b in self.bands])
 
     def keys(self, h: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """Block keys of a set, their lowest byte the band; and (band, hot blocks that the slack covers)."""
+        """Block keys of a set, their lowest byte the band; and (band, hot blocks that the slack covers).
+
+        What a set leaves out, hot blocks included, is at most ``slack`` blocks, and all that a similar
+        set leaves out of the shared ones is of the same kinds. So only a set that leaves out its blocks
+        of one token may leave out hot ones, too.
+        """
         out, spare = [], []
         low = h & U(0xFFFFFFFF)
         for band in self.bands_of(len(h)):
@@ -126,12 +133,15 @@ class Similarity:
             first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             bits = np.bitwise_xor.reduceat(mix(low * M1 + M2), first)
             used = block[first]
-            if blocks - len(used) > slack:
+            strong = np.diff(np.r_[first, len(block)]) > 1
+            left = slack - (blocks - len(used))
+            weak, covered = len(strong) - int(strong.sum()), 0
+            if left < 0:
                 lack = np.setdiff1d(np.arange(blocks, dtype=U), used)
                 used, bits = np.r_[used, lack], np.r_[bits, np.zeros(len(lack), U)]
-                spare.append((band, 0))
-            else:
-                spare.append((band, slack - (blocks - len(used))))
+            elif weak <= left:
+                used, bits, covered = used[strong], bits[strong], left - weak
+            spare.append((band, covered))
             out.append(mix(bits ^ mix(used + (U(band) << U(40)))) & ~U(0xFF) | U(band))
         return np.concatenate(out), spare
 
@@ -245,7 +255,7 @@ def _sketched(docs: DataFrame, sim: Similarity, parts: int) -> DataFrame:
 def _close(x: str, y: str, sim: Similarity) -> Column:
     """Exact bounds: sizes allow the similarity, and folded sketches are no further apart than similar sets are."""
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(8)])
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.get(f"{x}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}.sketch", F.lit(i)))) for i in range(8)])
     return (large.cast("long") * sim.num <= small.cast("long") * sim.den) & (apart * sim.num <= small.cast("long") * (sim.den - sim.num))
 
 

@@ -80,3 +80,35 @@ def test_components_of_chains_and_stars(spark):
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 1) for i in range(1, 41)} | {(100 + i, 100) for i in range(50)} | {(299, 299), (300, 299)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_passage_that_5000_unlike_texts_share(spark):
+    """Texts that share a passage alone stay apart, near copies among them meet; and a very long text."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(5000)]
+    rows += [(9000 + i, rows[i][1] + " end") for i in range(0, 60)]
+    long = " ".join(f"v{rng.randrange(10**7)}" for _ in range(150_000))
+    rows += [(20000, long), (20001, long + " more")]
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), Similarity(4, 85, 100)).collect()}
+    assert all(got[i] == i for i in range(5000)) and all(got[9000 + i] == i for i in range(60)) and got[20001] == 20000
+
+
+def test_what_similar_sets_leave_out_is_covered():
+    """Whatever blocks two similar sets leave out, hot ones included, they keep one that both have."""
+    rng = random.Random(12)
+    for sim in (Similarity(4, 85, 100), Similarity(5, 80, 100), Similarity(1, 50, 100)):
+        for _ in range(400):
+            h = np.unique(np.array([rng.getrandbits(64) for _ in range(rng.choice([2, 3, 5, 8, 13, 30, 80, 300]))], np.uint64))
+            most = sim.most_apart(len(h))
+            drop = rng.randrange(most + 1) if most else 0
+            g = np.unique(np.r_[rng.sample(list(h), len(h) - drop // 2) if drop // 2 < len(h) else h, [np.uint64(rng.getrandbits(64)) for _ in range(drop - drop // 2)]].astype(np.uint64))
+            both = len(np.intersect1d(h, g))
+            if sim.den * both < sim.num * (len(h) + len(g) - both):
+                continue
+            (kh, sh), (kg, sg) = sim.keys(h), sim.keys(g)
+            shared = np.intersect1d(kh, kg)
+            band = min(sim.bands_of(len(h))[0], sim.bands_of(len(g))[0])
+            shared = shared[(shared & np.uint64(0xFF)) == band]
+            covered = max(dict(sh)[band], dict(sg)[band])  # so many of them may be hot for either
+            assert len(shared) > covered
