@@ -46,46 +46,62 @@ RULES = (
 )
 
 
-def figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row of ``docs``: its columns as the struct ``_row``, and the struct ``_q`` of counts that rules may name.
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once.
+
+    A lambda binds it within one expression. A chain of columns would be put into each other by a
+    filter on the result, and worked out many times over.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _covered(w: Column) -> Column:
+    """Words of ``w`` within windows of three that occur twice or more."""
+    n = F.size(w)
+    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+
+    def starts(s: Column) -> Column:
+        again = lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.filter(F.transform(s, lambda x, i: F.when(again(x, i), x["p"])), lambda x: x.isNotNull()))
+
+    def cover(p: Column) -> Column:
+        return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+
+    placed = lambda t: F.sort_array(F.transform(t, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    some = lambda t: F.when(F.size(F.array_distinct(t)) < F.size(t), _let(placed(t), lambda s: _let(starts(s), cover))).otherwise(F.lit(0))
+    return _let(windows, some)
+
+
+def figures(text: Column) -> Column:
+    """A struct of counts that rules may name, as one expression.
 
     n_words, word_chars, n_symbols, n_lines (lines with a word), n_dup_lines, n_short_lines
     (lines of one or two words), n_stop_words and n_repeat_words; a null text counts as empty
     and gives zeros. Texts are read whole; work is linear in their length but for one sort of
     a text's own word triples.
     """
-    t = F.col("_x")
-    df = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs[text], F.lit("")).alias("_x"))
-    words = F.array_remove(F.split(t, BLANKS), "")
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_w", words).withColumn("_l", lines)
-    n = F.size("_w")
-    triples = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_t", triples)
-    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_t")) < F.size("_t"), F.sort_array(F.transform("_t", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
-    again = lambda x, i: F.coalesce(F.get("_s", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_s", i + 1)["h"] == x["h"], F.lit(False))
-    df = df.withColumn("_p", F.sort_array(F.filter(F.transform("_s", lambda x, i: F.when(again(x, i), x["p"])), lambda x: x.isNotNull())))
-    cover = F.aggregate(F.transform("_p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return df.select(
-        "_row",
-        F.struct(
-            n.cast("long").alias("n_words"),
-            F.length(F.concat_ws("", "_w")).cast("long").alias("word_chars"),
+    def counts(t: Column, w: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.concat_ws("", w)).cast("long").alias("word_chars"),
             F.regexp_count(t, F.lit("[" + SYMBOLS.replace("&", r"\&") + "]")).cast("long").alias("n_symbols"),
-            F.size("_l").cast("long").alias("n_lines"),
-            (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter("_l", lambda x: ~x.rlike(r"[^\x20\x09-\x0D][\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]"))).cast("long").alias("n_short_lines"),
-            F.size(F.filter("_w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-            F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"),
-        ).alias("_q"),
-    )
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            F.size(F.filter(lines, lambda x: ~x.rlike(r"[^\x20\x09-\x0D][\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]"))).cast("long").alias("n_short_lines"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+            _covered(w).cast("long").alias("n_repeat_words"),
+        )
+
+    words = lambda t: F.array_remove(F.split(t, BLANKS), "")
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(words(t), lambda w: _let(lines(t), lambda x: counts(t, w, x))))
 
 
-def compiled(rules: tuple[Rule, ...] = RULES, q: str = "_q") -> Column:
-    """One boolean expression: every rule's ratio within its bounds (0/0 counts as 0)."""
+def compiled(q: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """One boolean expression: every rule's ratio of the figures ``q`` within its bounds (0/0 counts as 0)."""
     ok = F.lit(True)
     for r in rules:
-        ratio = F.col(f"{q}.{r.over}") / F.greatest(F.col(f"{q}.{r.under}"), F.lit(1))
+        ratio = q[r.over] / F.greatest(q[r.under], F.lit(1))
         if r.least is not None:
             ok = ok & (ratio >= r.least)
         if r.most is not None:
@@ -93,6 +109,10 @@ def compiled(rules: tuple[Rule, ...] = RULES, q: str = "_q") -> Column:
     return ok
 
 
+#: The counts of ``figures``.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_short_lines", "n_stop_words", "n_repeat_words")
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
     """``docs`` plus ``quality``: a struct of the figures, base_failed and kept.
 
@@ -100,9 +120,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
     the words within repeated word triples. kept: not base_failed and within all rules. Null
     and empty texts have no words and fail. Repeated rows are judged alike, other columns are
     left as they are (but for one named quality, which is replaced), an empty table gives an
-    empty one.
+    empty one. A filter on the verdict works a text out once, and once more if it is kept and
+    its figures are read.
     """
-    df = figures(docs, text)
-    failed = (F.col("_q.n_words") < min_words) | (100 * F.col("_q.n_repeat_words") > max_repeat_pct * F.col("_q.n_words"))
-    keep = [F.col("_row")[c].alias(c) for c in docs.columns if c != "quality"]
-    return df.select(*keep, F.struct("_q.*", failed.alias("base_failed"), (~failed & compiled(rules)).alias("kept")).alias("quality"))
+    def verdict(q: Column) -> Column:
+        failed = (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > max_repeat_pct * q["n_words"])
+        return F.struct(*[q[c].alias(c) for c in COUNTS], failed.alias("base_failed"), (~failed & compiled(q, rules)).alias("kept"))
+
+    keep = [docs[c] for c in docs.columns if c != "quality"]
+    return docs.select(*keep, _let(figures(docs[text]), verdict).alias("quality"))
