@@ -18,15 +18,16 @@ from .common import in_arrow, new_path, sent_if_small, written
 
 #: kind -> (pattern, group whose length counts, least length). Fixed values; the first three are
 #: the base kinds. A run of hexadecimal digits is maximal, so {32,} finds what + and a length test would.
+#: A private key goes to its end line or, where that is missing, as far as its coded lines go.
 KINDS = {
     "assign": (r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
-    "pem": (r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, 1),
+    "pem": (r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*-----END (?:[A-Z]+ )?PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,}(?!\S))*)", 0, 1),
     "grant": (r"(?a)\b(?:ghp|gho|ghs|xoxb|xoxp)[_-][A-Za-z0-9-]{20,}", 0, 24),
 }
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 
 FOUND = "array<struct<kind:string,start:int,end:int>>"
 
@@ -62,21 +63,24 @@ class BlobLedger:
     def scan(self, versions: DataFrame, path: str = "path", text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
         """(path, blob_id, found) per row of ``versions``; ``found`` lists spans, empty if none.
 
-        A null text counts as empty. Rows that repeat a blob, or whose blob the ledger has under
-        this rule version, are not scanned again; they get the findings by a join on the blob,
-        in which only blobs with findings take part. Null paths are scanned and kept. An empty
-        table gives an empty one. Other columns are left out.
+        A null text counts as empty. Of the rows that share a blob, one is scanned, and none where the
+        ledger has the blob under this rule version; all get the findings by a join on the blob, in
+        which only blobs with findings take part. Null paths are scanned and kept, repeated rows stay.
+        An empty table gives an empty one. Other columns are left out.
         """
         rows = versions.select(F.col(path).alias("path"), blob_name(F.col(text)).alias("blob_id"))
         rows = written(rows, "versions")
-        known = self.entries().where(F.col("rule_version") == rule_version).select("blob_id").distinct()
-        first = rows.groupBy("blob_id").agg(F.min("path").alias("first"), F.max("path").alias("last")).where("last > first")
-        first = written(first.select("blob_id", "first"), "first")  # so that a hot blob's rows can be split in the join
-        again = rows.join(first, "blob_id").where("path > first").select("path", "blob_id")
-        seen = rows.join(known, "blob_id", "left_semi").select("path", "blob_id")
-        skip = sent_if_small(written(again.unionByName(seen).distinct(), "seen"))
-        todo = versions.select(F.col(path).alias("path"), F.col(text).alias("text"), blob_name(F.col(text)).alias("blob_id")).join(skip, ["path", "blob_id"], "left_anti")
+        known = self.entries().where(F.col("rule_version") == rule_version).select("blob_id").distinct().withColumn("known", F.lit(True))
+        own = rows.groupBy("blob_id", "path").agg(F.count("*").alias("times")).groupBy("blob_id").agg(F.count("*").alias("paths"), F.min(F.struct("path", "times")).alias("first"))
+        # blobs of one row that the ledger lacks, which most are, need no mark
+        marks = own.join(known, "blob_id", "left").where("known or paths > 1 or first.times > 1")
+        marks = written(marks.select("blob_id", "first.path", "first.times", F.coalesce("known", F.lit(False)).alias("known")), "marks")
+        texts = versions.select(F.col(path).alias("path"), F.col(text).alias("text"), blob_name(F.col(text)).alias("blob_id"))
+        texts = texts.join(sent_if_small(marks).withColumnRenamed("path", "first"), "blob_id", "left").where("known is null or not known")
+        todo = texts.where(F.col("known").isNull() | (F.col("path").eqNullSafe(F.col("first")) & (F.col("times") == 1)))
         self._add(todo, rule_version)
+        if marks.where("not known and times > 1").limit(1).count():  # the same version of the same path, several times
+            self._add(texts.where(F.col("path").eqNullSafe(F.col("first")) & (F.col("times") > 1)).dropDuplicates(["blob_id"]), rule_version)
         found = self.entries().where((F.col("rule_version") == rule_version) & (F.size("found") > 0)).select("blob_id", "found").dropDuplicates(["blob_id"])
         return rows.join(found, "blob_id", "left").select("path", "blob_id", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
@@ -91,6 +95,24 @@ class BlobLedger:
         out.select("blob_id", F.lit(rule_version).alias("rule_version"), "found").write.mode("append").parquet(self.path)
 
 
+def replaced(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with each of the spans, in order of their starts, replaced by ``mark``; overlapping ones merge."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def _replaced(mark: str):
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else replaced(t, sorted((x["start"], x["end"]) for x in f), mark) for t, f in zip(texts.to_pylist(), found.to_pylist(), strict=True)], pa.string())
+
+    return run
+
+
 def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "<SECRET>") -> DataFrame:
     """``docs`` with every found span of its text replaced by ``mark``; overlapping spans merge.
 
@@ -102,16 +124,7 @@ def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(docs[key].alias("__key"), blob_name(docs[text]).alias("__blob"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
     rows = rows.join(hits, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__blob") == F.col("__b")), "left")
     t = F.col(f"__row.{text}")
-    ordered = F.sort_array(F.transform("found", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(False).alias("open"))
-
-    def step(acc, x):
-        inside = x["s"] < acc["at"]
-        return F.when(inside, F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"), F.lit(True).alias("open"))).otherwise(
-            F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)).alias("out"), F.lit(True).alias("open"))
-        )
-
-    new = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    rows = rows.withColumn("__new", F.coalesce(new, t))
+    some = F.col("found").isNotNull()
+    rows = rows.withColumn("__new", F.when(some, _replaced(mark)(F.when(some, t), F.when(some, F.col("found")))).otherwise(t))
     cols = [F.col("__new").alias(c) if c == text else F.coalesce(F.length("__new").cast("long"), F.col("__row.n_chars")).alias(c) if c == "n_chars" else F.col(f"__row.{c}").alias(c) for c in docs.columns]
     return rows.select(*cols)
