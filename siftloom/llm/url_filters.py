@@ -87,11 +87,11 @@ class RuleIndex:
 def filter_urls(pages: DataFrame, rules: Iterable[UrlRule], url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` plus host, path, rule and verdict; columns of these names are replaced.
 
-    The longest rule that fits wins and gives its verdict; without one, rule is null and the
-    verdict ``default``. A null URL or one without ``://`` has an empty host and path and fits
+    The longest rule that fits wins and gives its verdict, of equally long ones block before allow
+    and then the first text in order; without one, rule is null and the verdict ``default``. A null URL or one without ``://`` has an empty host and path and fits
     no rule. One scan without an exchange: rows are judged independently, so hot hosts,
     repeated rows and ties need no care. An empty table or no rules work alike. More than
-    ``MOST_SENT_RULES`` rules are joined by token instead (``join_rules``).
+    ``MOST_SENT_RULES`` rules are joined by token instead (``join_rules``), with the same result.
     """
     rules = list(rules)
     if len(rules) > MOST_SENT_RULES:
@@ -126,7 +126,7 @@ def join_rules(pages: DataFrame, rules: list[UrlRule], url: str = "url", default
     urls = df.select("host", "path").distinct()
     tokens = F.array_distinct(F.concat(F.transform(F.split("host", r"\."), lambda x: F.concat(F.lit("h:"), x)), F.transform(F.split("path", "/"), lambda x: F.concat(F.lit("p:"), x))))
     hits = urls.select("host", "path", F.explode(tokens).alias("token")).join(table, "token").where(F.expr("concat(host, path) rlike pattern"))
-    order = F.struct(F.length("rule"), (F.col("verdict") == "block").cast("int"), F.col("rule"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("__b"))
+    order = F.struct(-F.length("rule"), F.col("verdict") != "block", F.col("rule"))  # that of RuleIndex
+    best = hits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), order).alias("__b"))
     out = df.join(best, ["host", "path"], "left")
     return out.select("__row.*", "host", "path", F.col("__b.rule").alias("rule"), F.coalesce("__b.verdict", F.lit(default)).alias("verdict"))

@@ -39,3 +39,13 @@ def test_both_ways_equal_brute_force(spark, way):
 def test_rules_are_filed_under_their_rarest_token():
     filed = {r.text: t for t, r in rarest(RULES)}
     assert filed["www.example.com/en/"] == "h:www" and filed["net/es/"] == "p:es" and filed["net/fr"] == "h:net"
+
+
+def test_ties_are_decided_alike_at_every_number_of_rules(spark, monkeypatch):
+    rules = [UrlRule("b.a.com", "/", "block"), UrlRule("a.com", "/x/", "block"), UrlRule("c.com", "/ab", "allow"), UrlRule("com", "/abcd", "allow"), UrlRule("com", "/abce", "block")]
+    long = "/x/" + "y" * 300_000
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(["http://b.a.com/x/1", "http://c.com/abcd", "http://c.com/abce", f"http://b.a.com{long}"])], "page_id long, url string")
+    few = {r.page_id: (r.rule, r.verdict) for r in filter_urls(df, rules).collect()}
+    assert few == {0: ("a.com/x/", "block"), 1: ("c.com/ab", "allow"), 2: ("com/abce", "block"), 3: ("a.com/x/", "block")}
+    monkeypatch.setattr("siftloom.llm.url_filters.MOST_SENT_RULES", 2)
+    assert {r.page_id: (r.rule, r.verdict) for r in filter_urls(df, rules).collect()} == few
