@@ -36,7 +36,7 @@ def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndar
     """(indices, values): DENSE structure figures and metadata, then hashed distinct words.
 
     Words are split at blanks, lower-cased and hashed by CRC-32; their values are the square
-    roots of their counts, scaled to length 1. A null text counts as empty, a null n_chars as
+    roots of their counts, summed where hashes agree, scaled to length 1. A null text counts as empty, a null n_chars as
     the text's own length.
     """
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -66,7 +66,9 @@ def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndar
     if not n:
         return np.arange(DENSE), dense
     index = np.fromiter(map(zlib.crc32, counts), dtype=np.int64, count=len(counts)) & ((1 << WORD_BITS) - 1)
-    value = np.sqrt(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
+    value = np.bincount(index, np.sqrt(np.fromiter(counts.values(), dtype=np.float64, count=len(counts))), 1 << WORD_BITS)
+    index = np.flatnonzero(value)
+    value = value[index]
     return np.concatenate([np.arange(DENSE), DENSE + index]), np.concatenate([dense, value / np.sqrt((value**2).sum())])
 
 
@@ -85,8 +87,13 @@ class Machine:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def fit(rows: list[tuple[str | None, int | None, int]], epochs: int = EPOCHS, rate: float = 0.1, seed: int = 7) -> Machine:
-    """Logistic loss by AdaGrad over ``rows`` of (text, n_chars, label).
+def fit(rows: list[tuple[str | None, int | None, int]], **settings) -> Machine:
+    """``fit_features`` over ``rows`` of (text, n_chars, label)."""
+    return fit_features([(*features(t, c), y) for t, c, y in rows], **settings)
+
+
+def fit_features(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = 0.1, seed: int = 7) -> Machine:
+    """Logistic loss by AdaGrad over ``rows`` of (indices, values, label).
 
     Without rows, or rows of one label, the weights stay at the smoothed share of label 1.
     """
@@ -97,11 +104,10 @@ def fit(rows: list[tuple[str | None, int | None, int]], epochs: int = EPOCHS, ra
     if not 0 < good < len(rows):
         m.v[:] = 0
         return m
-    data = [(*features(t, c), y) for t, c, y in rows]
     g0, gw, gv = 1e-6, np.full(size, 1e-6), np.full((size, RANK), 1e-6)
     for _ in range(epochs):
-        for k in rng.permutation(len(data)):
-            i, x, y = data[k]
+        for k in rng.permutation(len(rows)):
+            i, x, y = rows[k]
             vi = m.v[i]
             vx = vi * x[:, None]
             s = vx.sum(0)
@@ -123,40 +129,52 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")), F.lit(0)) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", most_rows: int = MOST_ROWS) -> Machine:
+def _with_n_chars(docs: DataFrame) -> Column:
+    return (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("long")
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", most_rows: int = MOST_ROWS, text: str = "text") -> Machine:
     """Fit on at most ``most_rows`` labelled documents that are not held out.
 
     Rows without id or label do not count; of several labels of one id the largest holds, of
     several texts the largest. The sample is that of the smallest id hashes, so it is the same
-    on every run and its size does not depend on the corpus.
+    on every run and its size does not depend on the corpus. Executors make the features, at most
+    DENSE + 2^WORD_BITS a row, and only those come to the driver. n_chars is optional.
     """
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull() & ~held_out(key))
         .groupBy(F.col(key).alias("__k")).agg(F.max("quality").alias("__y"))
         .orderBy(F.xxhash64("__k"), "__k").limit(most_rows)
     )
-    rows = docs.select(F.col(key).alias("__k"), "text", "n_chars").join(F.broadcast(chosen), "__k").groupBy("__k", "__y").agg(F.max(F.struct("text", "n_chars")).alias("__d")).select("__k", "__y", "__d.*").collect()
-    return fit([(r.text, r.n_chars, int(r["__y"] > 0)) for r in sorted(rows, key=lambda r: r["__k"])])
+    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("text"), _with_n_chars(docs).alias("n_chars")).join(F.broadcast(chosen), "__k").groupBy("__k", "__y").agg(F.max(F.struct("text", "n_chars")).alias("__d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [features(t, c) for t, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in made], pa.binary()), pa.array([x.astype("<f8").tobytes() for _, x in made], pa.binary())], names=["k", "y", "i", "x"])
+
+    rows = in_arrow(rows.select(F.xxhash64("__k").alias("k"), (F.col("__y") > 0).cast("int").alias("y"), "__d.text", "__d.n_chars"), run, "k long, y int, i binary, x binary").collect()
+    return fit_features([(np.frombuffer(r.i, "<i4"), np.frombuffer(r.x, "<f8"), r.y) for r in sorted(rows, key=lambda r: r.k)])
 
 
-def score(docs: DataFrame, machine: Machine, least: float = 0.3) -> DataFrame:
-    """``docs`` plus score (0 to 1) and predicted (1 from ``least`` on).
+def score(docs: DataFrame, machine: Machine, least: float = 0.3, text: str = "text", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` plus the columns ``into``: score (0 to 1) and predicted (1 from ``least`` on).
 
-    Only text and n_chars are read for a score. Null and empty texts are scored by their
-    structure figures; repeated rows alike; an empty table gives an empty one. Columns named
-    score or predicted are replaced.
+    Only the text and n_chars, which is optional, are read for a score. Null and empty texts are
+    scored by their structure figures; repeated rows alike; an empty table gives an empty one.
+    Columns that are named as in ``into`` are replaced.
     """
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    keep = [c for c in docs.columns if c not in into]
     sent = spark.sparkContext.broadcast(machine)  # of a size fixed by WORD_BITS and RANK
-    df = docs.select(F.col("text").alias("__text"), F.col("n_chars").cast("long").alias("__n"), *keep)
+    df = docs.select(F.col(text).alias("__text"), _with_n_chars(docs).alias("__n"), *keep)
     kept = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kept[c].dataType.simpleString()}" for c in keep), "score double"])
+    schema = ", ".join([*(f"`{c}` {kept[c].dataType.simpleString()}" for c in keep), f"`{into[0]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
             out = [m.score(t, n) for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, pa.float64())], names=[*keep, into[0]])
 
-    return in_arrow(df, run, schema).withColumn("predicted", (F.col("score") >= least).cast("int"))
+    return in_arrow(df, run, schema).withColumn(into[1], (F.col(into[0]) >= least).cast("int"))

@@ -1,9 +1,12 @@
 import random
 import zlib
 
+import pytest
+
 import numpy as np
 
-from siftloom.llm.quality_classifier import features, fit, score, train
+from siftloom.llm.q_quality_classifier import op7_quality_classifier
+from siftloom.llm.quality_classifier import DENSE, WORD_BITS, Machine, features, fit, score, train
 
 GOOD, BAD = "the river runs over old stones and people walk along it".split(), "buy cheap now click win".split()
 
@@ -42,3 +45,34 @@ def test_sum_of_squares_identity():
 def test_without_labels_every_text_gets_the_prior(spark):
     assert fit([]).score(None, None) == fit([]).score("any text", 3) == 0.5
     assert fit([("a", 1, 1)]).score("b", 1) > 0.5
+
+
+def test_query_on_given_tables(spark):
+    """The registered query decides nearly all labels that were held out as they are marked."""
+    sf = "/root/testdata/sf0.01"
+    rows = op7_quality_classifier(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").collect()}
+    held = [(r.predicted, r.score, label[r.doc_id]) for r in rows if r.held_out and r.doc_id in label]
+    assert len(held) > 20 and np.mean([p == y for p, _, y in held]) >= 0.95
+    good, bad = [s for _, s, y in held if y], [s for _, s, y in held if not y]
+    assert np.mean([g > b for g in good for b in bad]) >= 0.97
+
+
+@pytest.mark.parametrize("into", [("score", "predicted"), ("__a", "__b")])
+def test_long_texts_ties_and_absent_columns(spark, into):
+    """The bound of 0.3 counts as 1; a text of 300,000 distinct words has no more features than others can have."""
+    long = " ".join(f"w{i}" for i in range(300_000))
+    assert len(features(long, None)[0]) <= DENSE + (1 << WORD_BITS)
+    size = DENSE + (1 << WORD_BITS)
+    logit = float(np.log(0.3 / 0.7))
+    tie = Machine(np.nextafter(logit, 1), np.zeros(size), np.zeros((size, 1)))
+    docs = spark.createDataFrame([(1, "a", 0.9), (2, long, 0.8), (None, None, None)], "doc_id long, text string, score double")
+    got = score(docs, tie, into=into).collect()
+    assert {r[into[1]] for r in got} == {1} and all(abs(r[into[0]] - 0.3) < 1e-9 for r in got)
+    assert into[0] == "score" or [r.score for r in got] == [0.9, 0.8, None]
+    below = Machine(logit - 1e-9, np.zeros(size), np.zeros((size, 1)))
+    assert {r[into[1]] for r in score(docs, below, into=into).collect()} == {0}
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert train(docs, labels).w.shape == (size,)
