@@ -40,7 +40,7 @@ def write_archive(pages: DataFrame, path: str, key: str, payload: str, url: str
     """Write a record per row of ``pages`` to the folder ``path``.
 
     A null payload is written as an empty one, a null key as an empty id, a null URL without
-    target URI; an empty table gives an archive without records. Records of equal payloads of
+    target URI; an empty table gives an archive without records. Rows that repeat a key are a record each. Records of equal payloads of
     ``least_bytes`` or more refer to the one of the smallest key as revisits without payload.
     """
     rows = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary")).alias("body"), (F.col(url) if url else F.lit(None)).cast("string").alias("uri"))
@@ -52,9 +52,10 @@ def write_archive(pages: DataFrame, path: str, key: str, payload: str, url: str
     rid = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     revisit = F.col("refers_to").isNotNull()
     n_chunks = F.when(revisit, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n") / chunk_bytes))).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda i: F.substring(F.col("body"), i * chunk_bytes + 1, F.lit(chunk_bytes)))
-    cut = F.when(revisit, F.array(F.lit("").cast("binary"))).otherwise(cut)
-    seg = rows.select("key", "uri", "digest", "n", "refers_to", n_chunks.alias("of"), F.posexplode(cut).alias("i", "chunk"))
+    # numbers are exploded and each row cuts its own chunk, so a payload's chunks are never held together
+    seg = rows.select("key", "uri", "digest", "n", "refers_to", "body", n_chunks.alias("of"), F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("i"))
+    chunk = F.when(revisit, F.lit("").cast("binary")).otherwise(F.substring(F.col("body"), F.col("i") * chunk_bytes + 1, F.lit(chunk_bytes)))
+    seg = seg.select("key", "uri", "digest", "n", "refers_to", "of", "i", chunk.alias("chunk"))
     first, last = F.col("i") == 0, F.col("i") == F.col("of") - 1
     http = opt(first & F.col("refers_to").isNull(), F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END)))
     head = F.concat(
@@ -65,6 +66,7 @@ def write_archive(pages: DataFrame, path: str, key: str, payload: str, url: str
         opt(F.col("uri").isNotNull(), line("WARC-Target-URI", F.regexp_replace("uri", r"[\r\n]", "%20"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("X-Payload-Length", F.col("n").cast("string")),
+        line("X-Chunk-Digest", F.concat(F.lit("sha256:"), F.sha2("chunk", 256))),
         opt(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", rid(F.col("refers_to"))))),
         opt(F.col("of") > 1, line("WARC-Segment-Number", (F.col("i") + 1).cast("string"))),
         opt(~first, line("WARC-Segment-Origin-ID", rid(F.col("key")))),
@@ -119,7 +121,9 @@ def read_chunks(spark: SparkSession, path: str, payload: bool = True) -> DataFra
 
     ``last`` marks a record's last chunk; a revisit is one row without bytes. With
     ``payload=False`` chunk is null. payload_digest and payload_bytes are what the headers state.
-    A broken archive, or a payload that differs from its stated digest, raises an error.
+    A broken archive, or a chunk or payload that differs from its stated digest, raises an error; a
+    bad chunk does so before the rest of its payload is read. Records that repeat an id are read one
+    after the other, each with its own chunk rows from 0 on; a record without id has a null one.
     """
     if not _has_rows(spark, path):
         return spark.createDataFrame([], CHUNKS)
@@ -150,6 +154,8 @@ def read_chunks(spark: SparkSession, path: str, payload: bool = True) -> DataFra
                         record = ident(head["WARC-Record-ID"])
                     else:
                         record = ident(head["WARC-Segment-Origin-ID"])
+                    if hashlib.sha256(block).hexdigest() != head["X-Chunk-Digest"].removeprefix("sha256:"):
+                        raise ValueError(f"chunk {no} of record {record} differs from its digest")
                     sha.update(block)
                     last = offset + len(block) == total
                     if last and sha.hexdigest() != stated:
@@ -175,6 +181,7 @@ def _has_rows(spark: SparkSession, path: str) -> bool:
 def records(chunks: DataFrame) -> DataFrame:
     """A row per record: record_id, record_type, refers_to, payload_bytes, payload_digest.
 
-    A response's figures are those of the bytes read (its last chunk's running digest).
+    A response's figures are those of the bytes read (its last chunk's running digest). Records that
+    repeat an id have a row each.
     """
     return chunks.where("last").select("record_id", "record_type", "refers_to", F.when(F.col("record_type") == "revisit", F.col("payload_bytes")).otherwise(F.col("offset") + F.col("n_bytes")).alias("payload_bytes"), F.col("sha256").alias("payload_digest"))

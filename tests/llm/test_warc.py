@@ -5,7 +5,7 @@ import glob
 import pytest
 
 from siftloom.llm.common import new_path
-from siftloom.llm.warc import read_chunks, records, write_archive
+from siftloom.llm.warc import CHUNK_BYTES, read_chunks, records, write_archive
 
 
 def test_round_trip_and_revisits(spark):
@@ -45,3 +45,18 @@ def test_empty_table_and_broken_archive(spark):
         __import__("os").remove(crc)
     with pytest.raises(Exception, match="differs from its digest"):
         read_chunks(spark, b).count()
+
+
+def test_payloads_above_the_default_chunk(spark):
+    """Long payloads are read back chunk by chunk, each with the digest of all bytes up to it."""
+    body = "".join(f"{i:07d}é\n" for i in range(120_000))
+    df = spark.createDataFrame([(1, body), (2, body), (3, body + "x"), (3, "short")], "page_id long, html string")
+    path = new_path(spark, "t")
+    write_archive(df, path, "page_id", "html")
+    chunks = read_chunks(spark, path).collect()
+    raw = body.encode()
+    own = sorted((r for r in chunks if r.record_id == 1), key=lambda r: r.chunk_no)
+    assert len(own) == -(-len(raw) // CHUNK_BYTES) > 3 and b"".join(r.chunk for r in own) == raw
+    assert all(r.sha256 == hashlib.sha256(raw[: r.offset + r.n_bytes]).hexdigest() and r.n_bytes <= CHUNK_BYTES for r in own)
+    got = sorted((r.record_id, r.record_type, r.payload_bytes) for r in records(read_chunks(spark, path, payload=False)).collect())
+    assert got == [(1, "response", len(raw)), (2, "revisit", len(raw)), (3, "response", 5), (3, "response", len(raw) + 1)]
