@@ -18,13 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_arrow, written
+from .common import components, in_arrow, sent_if_small, written
 
 RECALL = 0.99
 #: Vectors that a filter holds on average, about; members of a filter that meet in one block.
@@ -42,13 +43,18 @@ class CapFilters:
     threshold: float = 0.0
 
     @classmethod
-    def made(cls, dim: int, words: int, cosine: float, recall: float = RECALL, seed: int = 11) -> CapFilters:
+    def drawn(cls, dim: int, words: int, threshold: float = 0.0, seed: int = 11) -> CapFilters:
+        """The same code wherever it is drawn."""
         rng = np.random.default_rng(seed)
         rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         cuts = np.array_split(np.arange(dim), BLOCKS)
         books = [rng.normal(size=(words, len(c))) for c in cuts]
         books = [b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12) / np.sqrt(BLOCKS) for b in books]
-        self = cls(rotation, books)
+        return cls(rotation, books, threshold)
+
+    @classmethod
+    def made(cls, dim: int, words: int, cosine: float, recall: float = RECALL, seed: int = 11) -> CapFilters:
+        self, rng = cls.drawn(dim, words, seed=seed), np.random.default_rng(seed + 1)
         x, z = rng.normal(size=(2, 400, dim))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         z -= (z * x).sum(1, keepdims=True) * x
@@ -81,6 +87,12 @@ class CapFilters:
         return np.sort(order[0][which] * words + order[1][rank]).astype(np.int64)
 
 
+@lru_cache(maxsize=2)
+def _code(dim: int, words: int, threshold: float) -> CapFilters:
+    """Drawn in each worker, so that nothing that grows with the table is sent."""
+    return CapFilters.drawn(dim, words, threshold)
+
+
 def _blocks(rows: list[tuple], cosine: float, kind: str, small: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(classes, ids, weighted links, label) of one filter's cell; rows are (filter, i, j, part, id, n, vector, filters, class)."""
     if len(rows) < 2:
@@ -130,7 +142,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     dimension or rows with a null id (whose component_id and kept are null). Rows that repeat an
     id are one node of the components. Other columns are left out; an empty table gives an empty one.
     """
-    spark = vectors.sparkSession
     single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
     kind, item = ("<f4", "float") if single else ("<f8", "double")
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{item}>").alias("v"))
@@ -141,22 +152,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     rows = written(rows.withColumn("digest", digest), "vectors")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = written(classes.withColumn("dim", F.size("v")).withColumn("class", F.monotonically_increasing_id()), "classes")
-    dims = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()}
-    codes = {}
-    for dim, n in dims.items():
-        words = max(8, round((24 * n / per_filter) ** (1 / BLOCKS)))
-        codes[dim] = CapFilters.made(dim, words, cosine)
-    sent = spark.sparkContext.broadcast(codes)  # grows with the square root of the number of vectors
-    small = all(len(c.books[0]) ** BLOCKS < 1 << 31 for c in codes.values())
+
+    def calibrated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(d, w, CapFilters.made(d, w, cosine).threshold) for d, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in [max(8, round((24 * n / per_filter) ** (1 / BLOCKS)))]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["dim", "words", "threshold"])
+
+    codes = written(in_arrow(classes.groupBy("dim").agg(F.count("*").alias("n")), calibrated, "dim int, words long, threshold double"), "codes")
+    small = (codes.agg(F.max("words")).first()[0] or 0) ** BLOCKS < 1 << 31
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, n, dim, v, own = (b.column(k) for k in range(5))
+            ids, n, dim, v, own, words, least = (b.column(k) for k in range(7))
             x = [np.array(t, dtype=np.float64) for t in v.to_pylist()]
-            lists = [sent.value[d].decode(t / np.linalg.norm(t)) for d, t in zip(dim.to_pylist(), x, strict=True)]
+            lists = [_code(*c).decode(t / np.linalg.norm(t)) for *c, t in zip(dim.to_pylist(), words.to_pylist(), least.to_pylist(), x, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, n, dim, pa.array([t.astype(kind).tobytes() for t in x], pa.binary()), pa.array([f.astype("<i4" if small else "<i8").tobytes() for f in lists], pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64())), own], names=["id", "n", "dim", "x", "list", "filters", "class"])
 
-    listed = written(in_arrow(classes.select("id", "n", "dim", "v", "class"), decode, "id long, n long, dim int, x binary, list binary, filters array<long>, class long"), "lists")
+    listed = written(in_arrow(classes.join(sent_if_small(codes), "dim").select("id", "n", "dim", "v", "class", "words", "threshold"), decode, "id long, n long, dim int, x binary, list binary, filters array<long>, class long"), "lists")
     each = listed.select("dim", F.explode("filters").alias("filter"), "id", "n", "x", "list", "class")
     sizes = each.groupBy("dim", "filter").agg(F.count("*").alias("size")).where("size > 1")
     sizes = written(sizes.withColumn("parts", F.ceil(F.col("size") / block).cast("int")).drop("size"), "sizes")
