@@ -58,12 +58,31 @@ class Memo(dict):
         return value
 
 
+#: Settings of a BPE model that no tokenizer here may have.
+PLAIN = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+
+
+def required(spec: object, **wanted: object) -> None:
+    """Raises an error where a tokenizer's ``spec`` differs from ``wanted``; unset, null and false are alike."""
+    for name, value in wanted.items():
+        own = spec.get(name) if isinstance(spec, dict) else None
+        if isinstance(value, dict) and isinstance(own, dict):
+            required(own, **value)
+        elif (own or None) != (value or None):
+            raise ValueError(f"a tokenizer with {name} = {own!r} is not supported, only {value!r}")
+
+
 class ByteBPE:
-    """Encodes and decodes with the byte-level BPE tokenizer described by the file at ``path``."""
+    """Encodes and decodes with the byte-level BPE tokenizer described by the file at ``path``.
+
+    A file of another kind (a normalizer, another split into pieces, dropout and the like) is
+    refused with a ValueError.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        required(spec, normalizer=None, pre_tokenizer={"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, model={"type": "BPE", **dict.fromkeys(PLAIN)})
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         letters = byte_alphabet()
         self.letters = letters

@@ -10,6 +10,7 @@ rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import Memo, byte_alphabet
+from .bpe import Memo, byte_alphabet, required
 from .common import in_arrow, written
 
 CAPACITY = 4096
@@ -150,12 +151,20 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
 class WordBPE:
     """Ids of the word-level BPE tokenizer at ``path``, as the tokenizers library gives them.
 
-    The library's own model encodes each distinct word once; a bounded memo keeps the ids.
+    The library's own model encodes each distinct word once; a bounded memo keeps the ids. A file
+    with another normalizer or split into words is refused with a ValueError.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+        required(spec, normalizer={"type": "Sequence", "normalizers": steps}, pre_tokenizer={"type": "Sequence"}, model={"type": "BPE", "dropout": None})
+        split, level = spec["pre_tokenizer"]["pretokenizers"]
+        required(split, type="Split", pattern={"Regex": WORDS}, behavior="Removed", invert=True)
+        required(level, type="ByteLevel", add_prefix_space=False, use_regex=False)
         tok = self.tok = Tokenizer.from_file(path)
         self.unusual = regex.compile(USUAL)
         self.model = tok.model

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from siftloom.llm.bpe import ByteBPE, encode_texts
+from siftloom.llm.packing import WordBPE
 from siftloom.llm.q_bpe import op3_bpe, vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,3 +51,15 @@ def test_query_and_rows(spark, tmp_path, both):
         assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
     assert encode_texts(docs, vocabulary("byte_bpe_50k.json")).columns == ["doc_id", "ids", "decoded"]
     assert encode_texts(docs.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize(("kind", "name"), [(ByteBPE, "byte_bpe_50k.json"), (WordBPE, "word_bpe_49k.json")])
+def test_other_kinds_of_tokenizers_are_refused(tmp_path, kind, name):
+    spec = json.load(open(public_tokenizers.path(name), encoding="utf-8"))
+    kind(public_tokenizers.path(name))
+    changes = [("normalizer", {"type": "NFKC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("model", spec["model"] | {"dropout": 0.1})]
+    for part, value in changes:
+        with open(tmp_path / "t.json", "w", encoding="utf-8") as f:
+            json.dump(spec | {part: value}, f)
+        with pytest.raises(ValueError, match="not supported"):
+            kind(str(tmp_path / "t.json"))
