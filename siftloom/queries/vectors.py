@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import rounded
-from ..operators.similarity import first_come, hamming_pairs, nearest
+from ..operators.similarity import first_come, hamming_codes, nearest
 from ..sources.tables import load
 
 
@@ -100,7 +100,7 @@ def dedup_first_come(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns that repeat an earlier kept one, by SimHash; decided in order of arrival."""
     rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), V.simhash64("text").alias("simhash"))
     rows = rows.groupBy("id").agg(F.min("simhash").alias("simhash"))
-    return first_come(rows, hamming_pairs(rows))
+    return first_come(rows, alike=hamming_codes(rows))
 
 
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

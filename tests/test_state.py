@@ -9,7 +9,7 @@ from siftloom.functions.vectors import cosine, embedding_of, hamming, simhash_of
 from siftloom.operators import analytics as A
 from siftloom.operators import signals as G
 from siftloom.operators.reviews import funnel, map_code, map_features, process
-from siftloom.operators.similarity import first_come, hamming_pairs, nearest
+from siftloom.operators.similarity import first_come, hamming_codes, nearest
 from siftloom.plans.tables import spread
 from siftloom.sources.store import Store, memoised
 from siftloom.sources.tables import RAW_REVIEW, validate
@@ -39,14 +39,22 @@ def test_nearest_equals_all_pairs(spark):
         assert sorted(got.get(i, [])) == [(k + 1, j, -c) for k, (c, j) in enumerate(sorted(s)[:4])]
 
 
-def test_hamming_pairs_equal_brute_force(spark):
+def test_near_codes_equal_brute_force(spark):
     rng = random.Random(4)
     codes = [rng.getrandbits(64) for _ in range(15)]
     codes += [c ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) for c in codes for _ in range(4)]
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     df = spark.createDataFrame([*enumerate(signed), (500, 0), (501, 0)], "id long, simhash long")
-    got = {(r.a, r.b, r.distance) for r in hamming_pairs(df).collect()}
+    alike = hamming_codes(df)
+    rows = {r.id: r.code for r in alike.members.collect()}
+    near = {(r.c1, r.c2): r.distance for r in alike.near.collect()}
+    got = {(i, j, near[rows[i], rows[j]]) for i in rows for j in rows if i < j and (rows[i], rows[j]) in near}
     assert got == {(i, j, (codes[i] ^ codes[j]).bit_count()) for i in range(len(codes)) for j in range(i + 1, len(codes)) if (codes[i] ^ codes[j]).bit_count() <= 3}
+    assert near == {(b, a): d for (a, b), d in near.items()}
+    # 3,000 rows of one code make rows and one near code, not pairs
+    many = hamming_codes(spark.range(3000).select("id", F.lit(77).cast("long").alias("simhash")))
+    assert (many.members.count(), many.near.count()) == (3000, 1)
+    assert {r.duplicate_of for r in first_come(spark.range(3000), alike=many).where("id > 0").collect()} == {0}
     assert spark.range(1).select(hamming(F.lit(-1).cast("long"), F.lit(0).cast("long"))).first()[0] == 64
 
 
@@ -66,6 +74,28 @@ def test_first_come_follows_the_order_of_arrival(spark):
     assert {r.id: r.duplicate_of for r in first_come(rows, df).collect()} == want
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_first_come_replays_vectors_and_codes(spark, seed):
+    """Against a plain replay: the nearest kept earlier row by cosine, else the nearest one by code."""
+    rng = random.Random(seed)
+    codes = [rng.getrandbits(63) | 1 for _ in range(12)]
+    codes = [c ^ sum(1 << rng.randrange(63) for _ in range(rng.choice([0, 0, 1, 2, 3, 5]))) for c in (rng.choice(codes) for _ in range(160))]
+    vectors = np.random.default_rng(seed).normal(size=(20, 6))
+    vectors = [vectors[rng.randrange(20)] + np.random.default_rng(1000 * seed + i).normal(size=6) * rng.choice([0.01, 0.05, 0.3]) for i in range(160)]
+    unit = np.array([v / np.linalg.norm(v) for v in vectors])
+    cos = unit @ unit.T
+    want, kept = {}, []
+    for i in range(160):
+        near = [(-cos[i, j], j) for j in kept if cos[i, j] >= 0.985] or [((codes[i] ^ codes[j]).bit_count(), j) for j in kept if (codes[i] ^ codes[j]).bit_count() <= 3]
+        want[i] = min(near)[1] if near else None
+        if not near:
+            kept.append(i)
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(vectors, codes, strict=True))], "id long, v array<double>, simhash long").repartition(3)
+    pairs = nearest(df, df, None, 0.985, earlier=True).select(F.col("id").alias("a"), F.col("query").alias("b"), (-F.col("cosine")).alias("distance"))
+    assert {r.id: r.duplicate_of for r in first_come(df, pairs, alike=hamming_codes(df)).collect()} == want
+    assert 20 < len(kept) < 150
+
+
 def test_spread(spark):
     edges = [(5, 4), (4, 3), (9, 8), (3, 3), (None, 1)] + [(i, i + 1) for i in range(20, 50)]
     got = {r.node: r.root for r in spread(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
