@@ -25,12 +25,12 @@ def trimmed(c: Column) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """NFC; plain ASCII texts never leave the JVM."""
+    """NFC; Python only gets the texts that are not plain ASCII, the others are sent as nulls."""
 
     def compose(s: pd.Series) -> pd.Series:
         return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
-    return F.pandas_udf(compose, "string")(c)
+    return F.coalesce(F.pandas_udf(compose, "string")(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def normalize(c: Column, composed: bool = True) -> Column:
@@ -47,12 +47,19 @@ def normalize(c: Column, composed: bool = True) -> Column:
     return trimmed(c)
 
 
+#: Scripts that decide a language by themselves, in this order. Fixed values.
+LANGUAGE_SCRIPTS = {"ja": "[\u3041-\u30FF]", "zh": "[\u4E00-\u9FFF]", "ru": "[\u0400-\u04FF]", "th": "[\u0E00-\u0E7F]", "ar": "[\u0600-\u06FF]"}
+
 #: Frequent words by language, for texts that neither script nor length decides. Fixed values.
 LANGUAGE_WORDS = {
     "en": "the of and to in is that for it was with as be this by are at or an",
     "de": "der die das und den von zu mit sich des auf ist im dem nicht ein eine",
     "fr": "le la les des du et un une est que pour dans qui sur au par en",
     "es": "el los las y del por con una su para es al lo como se que",
+    "pt": "o os as do da dos das em um uma não para com que e é ao por mais",
+    "it": "il lo gli di del della che è per un una non con sono si da nel e",
+    "vi": "và của là có không được cho một những trong này với các người đã",
+    "id": "yang dan di dengan untuk tidak ini itu dari dalam akan pada juga",
 }
 
 
@@ -60,8 +67,12 @@ def detect_language(c: Column) -> Column:
     """struct(language, confidence).
 
     A Hangul syllable: ko, 0.95. Under ten characters: en, 0.6 if all ASCII, else unknown, 0.
-    Otherwise the language with most frequent words among the text's words, 0.8, or unknown.
+    Otherwise, at 0.8, the language of a script that one language has, if a third of the text's
+    letters are of it, else the one with most frequent words among the text's words, or unknown.
     """
+    share = lambda script: F.regexp_count(c, F.lit(script)) * 3 >= F.greatest(F.regexp_count(c, F.lit(r"\p{L}")), F.lit(1))
+    script = reduce(lambda rest, k: F.when(share(LANGUAGE_SCRIPTS[k]), k).otherwise(rest), reversed(list(LANGUAGE_SCRIPTS)), F.lit(None).cast("string"))
+    script = F.when(c.rlike(r"[\u0400-\u06FF\u0E00-\u0E7F\u3041-\u30FF\u4E00-\u9FFF]"), script)
     words = F.split(F.lower(c), r"[^\p{L}]+")
     hits = {k: F.size(F.filter(words, _one_of(v.split()))) for k, v in LANGUAGE_WORDS.items()}
     most = F.greatest(*hits.values())
@@ -70,7 +81,9 @@ def detect_language(c: Column) -> Column:
     return (
         F.when(c.rlike(r"[가-힣]"), struct(F.lit("ko"), 0.95))
         .when((F.length(c) < 10) & c.rlike(r"^[\x00-\x7F]*$"), struct(F.lit("en"), 0.6))
-        .when((F.length(c) < 10) | (most == 0), struct(F.lit("unknown"), 0.0))
+        .when(F.length(c) < 10, struct(F.lit("unknown"), 0.0))
+        .when(script.isNotNull(), struct(script, 0.8))
+        .when(most == 0, struct(F.lit("unknown"), 0.0))
         .otherwise(struct(best, 0.8))
     )
 
@@ -254,3 +267,11 @@ def emergent_label(area: Column, mention: Column, text: Column) -> Column:
 
 def slug(label: Column, prefix: Column) -> Column:
     return F.substring(F.concat(F.lit("gap:"), prefix, F.lit(":"), F.regexp_replace(F.lower(label), f"{SPACE}+", "_")), 1, 200)
+
+
+def set_json(document: Column, key: str, value: Column) -> Column:
+    """The JSON object ``document`` with ``value`` at ``key``; other keys stay, no or a bad document counts as empty."""
+    old = F.coalesce(F.try_parse_json(document), F.parse_json(F.lit("{}")))
+    fields = F.coalesce(F.from_json(F.to_json(old), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    kept = F.map_filter(fields, lambda k, v: k != key)
+    return F.to_json(F.map_concat(kept, F.create_map(F.lit(key), F.parse_json(F.to_json(value)))))

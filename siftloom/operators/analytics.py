@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import trend, window_counts
-from ..functions.text import risk_rank, rounded
+from ..functions.text import risk_rank, rounded, trimmed
 
 
 def listed(c: Column) -> Column:
@@ -161,3 +161,24 @@ def module_summary(artifacts: DataFrame) -> DataFrame:
     """Files, symbols and the highest risk of every module."""
     rank = F.max(F.when(F.col("kind") == "symbol", risk_rank(F.col("risk_tier"))))
     return artifacts.groupBy("module").agg(F.count_if(F.col("kind") == "file").alias("files"), F.count_if(F.col("kind") == "symbol").alias("symbols"), rank.alias("risk_rank"))
+
+
+#: Ids of examples that a mention keeps.
+EXAMPLES = 20
+
+
+def mention_candidates(mentions: DataFrame, most: int = EXAMPLES) -> DataFrame:
+    """(normalized, n, first_seen, last_seen, examples) of mentions (mention, review_id, ts) that no feature has.
+
+    Examples are the ids of the first ``most`` mentions by time; a window keeps no more of a mention.
+    """
+    rows = mentions.select(F.lower(trimmed(F.regexp_replace("mention", r"\s+", " "))).alias("normalized"), "review_id", "ts")
+    n = rows.groupBy("normalized").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    first = rows.withColumn("k", F.row_number().over(W.partitionBy("normalized").orderBy("ts", "review_id"))).where(F.col("k") <= most)
+    first = first.groupBy("normalized").agg(F.array_sort(F.collect_list(F.struct("k", "review_id"))).alias("e"))
+    return n.join(first, "normalized").select("normalized", "n", "first_seen", "last_seen", F.col("e.review_id").alias("examples"))
+
+
+def gauges(samples: DataFrame, order: list[str]) -> DataFrame:
+    """(name, value): the last value of every gauge by ``order``."""
+    return samples.groupBy("name").agg(F.max_by("value", F.struct(*order)).alias("value"))

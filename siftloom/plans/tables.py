@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     known = sc._jsc.sc().getCheckpointDir()
     if not known.isDefined():
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftloom-"))
         known = sc._jsc.sc().getCheckpointDir()
@@ -34,9 +34,16 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table's files up to which it may be sent.
+MOST_SENT_BYTES = 16 << 20
+
+
 def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
-    """A saved table, marked for a broadcast if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """A saved table, marked for a broadcast if it has at most ``most`` rows and ``MOST_SENT_BYTES``."""
+    fs = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    size = sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in map(fs, df.inputFiles()))
+    return F.broadcast(df) if size <= MOST_SENT_BYTES and df.count() <= most else df
 
 
 def spread(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, state, texts, vectors
+from . import analytics, insight, state, texts, vectors
 
-_MODULES = (texts, vectors, analytics, state)
+_MODULES = (texts, vectors, analytics, state, insight)
 
 
 def queries() -> dict:

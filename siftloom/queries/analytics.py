@@ -183,12 +183,12 @@ def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def psi_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of the first against the second half of the events."""
-    return A.psi(_distribution(spark, sf_dir, "ts < '2024-01-08'"), _distribution(spark, sf_dir, "ts >= '2024-01-08' and event_type <> 'view'"))
+    return A.psi(_distribution(spark, sf_dir, "ts < '2024-01-08'"), _distribution(spark, sf_dir, "ts >= '2024-01-08'"))
 
 
 _DIST = "SELECT 'event_type' AS dimension, event_type AS bucket, count(*) AS n FROM events WHERE {0} GROUP BY 2 UNION ALL SELECT 'value', least(floor(value / 20), 9)::bigint::varchar, count(*) FROM events WHERE {0} GROUP BY 2"
 PSI_SQL = f"""
-WITH a AS ({_DIST.format("ts < '2024-01-08'")}), b AS ({_DIST.format("ts >= '2024-01-08' AND event_type <> 'view'")}),
+WITH a AS ({_DIST.format("ts < '2024-01-08'")}), b AS ({_DIST.format("ts >= '2024-01-08'")}),
 p AS (SELECT *, n / sum(n) OVER (PARTITION BY dimension) AS p FROM a), q AS (SELECT *, n / sum(n) OVER (PARTITION BY dimension) AS q FROM b),
 j AS (SELECT coalesce(p.dimension, q.dimension) AS dimension, greatest(coalesce(p, 0), 1e-6)::double AS p, greatest(coalesce(q, 0), 1e-6)::double AS q FROM p FULL JOIN q ON p.dimension = q.dimension AND p.bucket = q.bucket),
 s AS (SELECT dimension, floor(sum((q - p) * ln(q / p)) * 1000 + 0.5) / 1000 AS psi FROM j GROUP BY dimension)

@@ -143,15 +143,19 @@ def category_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 DASHBOARD_SQL = f"WITH {_CLASSIFIED} SELECT category, count(*) AS n, floor(count(*)::double / sum(count(*)) OVER () * 1000 + 0.5) / 10 AS share FROM c GROUP BY category"
 
 
+_COMPLAINTS = ("", " the app crashes and all my data is lost", " I want a refund or my lawyer will sue", " crash crash on payment, refund", " maybe", " slow slow slow")
+
+
 def escalation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasons for which documents go to a person."""
-    rows = _classified(spark, sf_dir)
-    reasons = T.escalation_reasons(F.col("c.severity"), F.col("c.category_confidence"), F.coalesce("text", F.lit("")))
+    """Reasons for which reports go to a person: documents, to every third of which words of a complaint are added."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, _COMPLAINTS)), (F.col("doc_id") % len(_COMPLAINTS) + 1).cast("int"))).alias("text"), F.expr(f"cast({RATING} as double)").alias("rating"))
+    rows = C.with_category(docs, "text", "rating", out="c")
+    reasons = T.escalation_reasons(F.col("c.severity"), F.col("c.category_confidence"), F.col("text"))
     return rows.select("source", F.explode(F.array_distinct(reasons)).alias("reason")).groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
 ESCALATION_SQL = f"""
-WITH {_CLASSIFIED}, q AS (
+WITH {_CLASSIFIED.replace("rating FROM documents", "rating FROM (SELECT * REPLACE (coalesce(text, '') || [" + ", ".join(map(_quoted, _COMPLAINTS)) + f"][doc_id % {len(_COMPLAINTS)} + 1] AS text) FROM documents)")}, q AS (
   SELECT source, unnest([CASE WHEN severity = 'critical' THEN 'critical' END, CASE WHEN {" OR ".join(f"contains(lower(coalesce(text, '')), {_quoted(w)})" for w in T.LEGAL_WORDS)} THEN 'refund_legal' END, CASE WHEN category_confidence < 0.6 THEN 'low_confidence' END]) AS reason FROM c
 )
 SELECT source, reason, count(*) AS n FROM q WHERE reason IS NOT NULL GROUP BY ALL
@@ -167,12 +171,14 @@ def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _language_sql() -> str:
     count = {k: "len(list_filter(w, lambda x: x IN (" + ", ".join(map(_quoted, v.split())) + ")))" for k, v in T.LANGUAGE_WORDS.items()}
     most = f"greatest({', '.join(f'n_{k}' for k in count)})"
+    share = {k: rf"len(regexp_extract_all(t, '{p}')) * 3 >= greatest(1, len(regexp_extract_all(t, '\p{{L}}')))" for k, p in T.LANGUAGE_SCRIPTS.items()}
+    script, known = " ".join(f"WHEN {s} THEN '{k}'" for k, s in share.items()), " ".join(f"WHEN {s} THEN 0.8" for s in share.values())
     return rf"""
 WITH a AS (SELECT lang, coalesce(text, '') AS t FROM documents),
 b AS (SELECT lang, t, string_split_regex(lower(t), '[^\p{{L}}]+') AS w FROM a),
 c AS (SELECT lang, t, {", ".join(f"{s} AS n_{k}" for k, s in count.items())} FROM b),
-d AS (SELECT lang, CASE WHEN regexp_matches(t, '[가-힣]') THEN 'ko' WHEN length(t) < 10 AND regexp_full_match(t, '[\x00-\x7F]*') THEN 'en' WHEN length(t) < 10 OR {most} = 0 THEN 'unknown' {" ".join(f"WHEN n_{k} = {most} THEN '{k}'" for k in count)} END AS language,
-  CASE WHEN regexp_matches(t, '[가-힣]') THEN 0.95 WHEN length(t) < 10 AND regexp_full_match(t, '[\x00-\x7F]*') THEN 0.6 WHEN length(t) < 10 OR {most} = 0 THEN 0 ELSE 0.8 END::double AS confidence FROM c)
+d AS (SELECT lang, CASE WHEN regexp_matches(t, '[가-힣]') THEN 'ko' WHEN length(t) < 10 AND regexp_full_match(t, '[\x00-\x7F]*') THEN 'en' WHEN length(t) < 10 THEN 'unknown' {script} WHEN {most} = 0 THEN 'unknown' {" ".join(f"WHEN n_{k} = {most} THEN '{k}'" for k in count)} END AS language,
+  CASE WHEN regexp_matches(t, '[가-힣]') THEN 0.95 WHEN length(t) < 10 AND regexp_full_match(t, '[\x00-\x7F]*') THEN 0.6 WHEN length(t) < 10 THEN 0 {known} WHEN {most} = 0 THEN 0 ELSE 0.8 END::double AS confidence FROM c)
 SELECT lang, language, confidence, count(*) AS n FROM d GROUP BY ALL
 """
 
@@ -253,14 +259,26 @@ SELECT page_id, coalesce(substr(array_to_string(f[1:40], ' | '), 1, 800), '') AS
 """
 
 
+_FAILURES = ("", " NullPointerException at start, app version 2.4.1", " HTTP 503 error on save v1.20", " the app crash-es, Force  Close", " 화면이 멈춤 버전 3.1.4", " E오류 code: 42x", " 저장 버튼을 누르면 꺼져요. 사진을 선택하면 멈춰요! 목록을 길게 누르면 닫혀요. 다시 누르면", " a404b 5xx v9")
+
+
 def error_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error expressions and version hints that conversation turns hold."""
-    t = F.coalesce("text", F.lit(""))
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", C.error_signature(t).alias("signature"), C.version_hint(t).alias("version"), F.size(C.reproduction_steps(t)).alias("n_steps"))
+    """Error expressions, version hints and steps in conversation turns, to which words of failures are added in turn."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, _FAILURES)), ((F.col("conv_id") + F.col("turn")) % len(_FAILURES) + 1).cast("int")))
+    steps = F.array_join(C.reproduction_steps(t), "|")
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", C.error_signature(t).alias("signature"), C.version_hint(t).alias("version"), steps.alias("steps"))
+
+
+_ERRORS = (r"null\s*pointer|nullpointerexception|npe|nil\b", r"\b[45]\d{2}\b\s*(?:error|에러)?", r"강제\s*종료|튕(?:겨|김|기)|크래시|crash|force\s*close", r"멈춤|멈춰|먹통|freeze|frozen|무한\s*로딩", r"\b(?:error|에러|오류)\s*(?:code\s*)?[:#]?\s*[A-Za-z0-9_]+")
+SIGNATURES_SQL = rf"""
+WITH a AS (SELECT conv_id, turn, coalesce(text, '') || [{", ".join(map(_quoted, _FAILURES))}][(conv_id + turn) % {len(_FAILURES)} + 1] AS t FROM conversations)
+SELECT conv_id, turn, coalesce({", ".join(f"nullif(regexp_extract(t, '(?i){p}', 0), '')" for p in _ERRORS)}) AS signature, nullif(regexp_extract(t, '(?i)(?:^|[^A-Za-z0-9_])(?:v|버전\s*)?(\d+\.\d+(?:\.\d+)?)\b', 1), '') AS version,
+  array_to_string(list_transform(regexp_extract_all(t, '[^.。!?\n]{{4,40}}?(?:할 때|누르면|하면|을 누르면|를 누르면)')[1:3], lambda x: trim(x)), '|') AS steps FROM a
+"""
 
 
 QUERIES = {f.__name__: f for f in (category_dashboard, normalize_stats, pii_by_type, prefilter_funnel, classify_documents, escalation_queue, language_counts, error_families, code_risk, quality_score, feature_mentions, ui_surface, error_signatures)}
 ORACLES = {
     "category_dashboard": DASHBOARD_SQL, "normalize_stats": NORMALIZE_SQL, "pii_by_type": _pii_sql(), "prefilter_funnel": PREFILTER_SQL, "classify_documents": CLASSIFY_SQL, "escalation_queue": ESCALATION_SQL,
-    "language_counts": _language_sql(), "error_families": _errors_sql(), "code_risk": RISK_SQL, "quality_score": QUALITY_SQL, "feature_mentions": MENTIONS_SQL, "ui_surface": UI_SQL,
+    "language_counts": _language_sql(), "error_families": _errors_sql(), "code_risk": RISK_SQL, "quality_score": QUALITY_SQL, "feature_mentions": MENTIONS_SQL, "ui_surface": UI_SQL, "error_signatures": SIGNATURES_SQL,
 }

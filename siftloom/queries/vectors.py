@@ -86,14 +86,20 @@ def simhash_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BIT = " + ".join(f"(CASE WHEN b{k} * 2 > n THEN {1 << (63 - k)}::hugeint ELSE 0 END)" for k in range(64))
-SIMHASH_SQL = rf"""
-WITH t AS (SELECT item_id, trim(regexp_replace(nfc_normalize(lower(coalesce(text, ''))), '\s+', ' ', 'g')) AS t FROM benchmark),
-g AS (SELECT item_id, substr(md5(substr(t, i, 3)), 1, 16) AS h FROM (SELECT item_id, t, unnest(range(1, greatest(length(t) - 1, 2))) AS i FROM t WHERE length(t) > 0)),
-x AS (SELECT item_id, ('0x' || substr(h, 1, 8))::bigint AS hi, ('0x' || substr(h, 9, 8))::bigint AS lo FROM g),
-v AS (SELECT item_id, count(*) AS n, {", ".join(f"sum(({'hi' if k < 32 else 'lo'} >> {31 - k % 32}) & 1) AS b{k}" for k in range(64))} FROM x GROUP BY item_id),
-s AS (SELECT item_id, {_BIT} AS u FROM v)
-SELECT t.item_id, CASE WHEN u IS NULL THEN 0 WHEN u >= 9223372036854775808 THEN (u - 18446744073709551616)::bigint ELSE u::bigint END AS simhash FROM t LEFT JOIN s USING (item_id)
-"""
+
+
+def _hashes(key: str, table: str) -> str:
+    """CTEs up to sh (key, simhash) for the texts of ``table``."""
+    return rf"""
+t AS (SELECT {key} AS k, trim(regexp_replace(nfc_normalize(lower(coalesce(text, ''))), '\s+', ' ', 'g')) AS t FROM {table}),
+g AS (SELECT k, substr(md5(substr(t, i, 3)), 1, 16) AS h FROM (SELECT k, t, unnest(range(1, greatest(length(t) - 1, 2))) AS i FROM t WHERE length(t) > 0)),
+x AS (SELECT k, ('0x' || substr(h, 1, 8))::bigint AS hi, ('0x' || substr(h, 9, 8))::bigint AS lo FROM g),
+v AS (SELECT k, count(*) AS n, {", ".join(f"sum(({'hi' if k < 32 else 'lo'} >> {31 - k % 32}) & 1) AS b{k}" for k in range(64))} FROM x GROUP BY k),
+s AS (SELECT k, {_BIT} AS u FROM v),
+sh AS (SELECT t.k, CASE WHEN u IS NULL THEN 0 WHEN u >= 9223372036854775808 THEN (u - 18446744073709551616)::bigint ELSE u::bigint END AS simhash FROM t LEFT JOIN s USING (k))"""
+
+
+SIMHASH_SQL = f"WITH {_hashes('item_id', 'benchmark')} SELECT k AS item_id, simhash FROM sh"
 
 
 def dedup_first_come(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +109,19 @@ def dedup_first_come(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_come(rows, alike=hamming_codes(rows))
 
 
+#: Rows are decided one after the other: each step adds a row to those gone if a row before it stayed.
+FIRST_COME_SQL = f"""
+WITH RECURSIVE {_hashes("rid", "(SELECT row_number() OVER () AS rid, * FROM cs)").replace("t AS (", "cs AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), own AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM cs), t AS (", 1).replace("(SELECT row_number() OVER () AS rid, * FROM cs))", "own)", 1)},
+h AS MATERIALIZED (SELECT id, min(simhash) AS h FROM sh JOIN own ON rid = k GROUP BY id),
+p AS MATERIALIZED (SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h)) AS d FROM h a JOIN h b ON a.id < b.id AND a.h <> 0 AND b.h <> 0 AND bit_count(xor(a.h, b.h)) <= 3),
+n AS MATERIALIZED (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS k FROM p GROUP BY b),
+r AS (SELECT 0::bigint AS k, []::bigint[] AS gone UNION ALL SELECT r.k + 1, CASE WHEN len(list_filter(near, lambda y: NOT list_contains(gone, y))) > 0 THEN list_append(gone, b) ELSE gone END FROM r JOIN n ON n.k = r.k + 1),
+z AS MATERIALIZED (SELECT unnest(gone) AS id FROM (SELECT gone FROM r ORDER BY k DESC LIMIT 1)),
+f AS (SELECT b, arg_min(a, (d, a)) AS a FROM p WHERE b IN (FROM z) AND a NOT IN (FROM z) GROUP BY b)
+SELECT h.id, f.a AS duplicate_of FROM h LEFT JOIN f ON f.b = h.id
+"""
+
+
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of every distinct text, and how many it stands for."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
@@ -111,6 +130,6 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (knn_top5, cosine_bands, semantic_cache, centroid_radius, simhash_codes, dedup_first_come, dedup_exact)}
 ORACLES = {
-    "knn_top5": KNN_SQL, "cosine_bands": BANDS_SQL, "semantic_cache": CACHE_SQL, "centroid_radius": RADIUS_SQL, "simhash_codes": SIMHASH_SQL,
+    "knn_top5": KNN_SQL, "cosine_bands": BANDS_SQL, "semantic_cache": CACHE_SQL, "centroid_radius": RADIUS_SQL, "simhash_codes": SIMHASH_SQL, "dedup_first_come": FIRST_COME_SQL,
     "dedup_exact": "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY coalesce(text, '')",
 }

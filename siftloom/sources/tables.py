@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import code_risk
+from ..functions.vectors import local_embedding
+
 #: What a raw review holds.
 RAW_REVIEW = (
     "source string, source_id string, text string, title string, rating double, locale string, app_version string, platform string, "
@@ -25,6 +28,20 @@ def validate(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.where(good), raw.where(~good)
 
 
+def seeded(spark: SparkSession, features: list[dict], artifacts: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """Registries of features and artifacts kept by hand, each with the vector of its joined texts.
+
+    A feature has repo, id, label, description, aliases, parent_id, module; an artifact repo, id, kind,
+    path, module, symbol, feature_ids, description. What is left out is null; ids that repeat keep the last entry.
+    """
+    last = lambda rows: list({(r.get("repo"), r["id"]): r for r in rows}.values())
+    f = spark.createDataFrame([tuple(r.get(c) for c in ("repo", "id", "label", "description", "aliases", "parent_id", "module")) for r in last(features)], "repo string, id string, label string, description string, aliases array<string>, parent_id string, module string")
+    a = spark.createDataFrame([tuple(r.get(c) for c in ("repo", "id", "kind", "path", "module", "symbol", "feature_ids", "description")) for r in last(artifacts)], "repo string, id string, kind string, path string, module string, symbol string, feature_ids array<string>, description string")
+    risk = code_risk(F.col("path"), F.col("module"), F.col("symbol"))
+    f = f.withColumn("v", local_embedding(F.concat_ws(" ", "label", "description", "aliases"))).withColumn("state", F.lit("grounded"))
+    return f, a.withColumn("v", local_embedding(F.concat_ws(" ", "module", "symbol", "path", "description"))).withColumn("risk_tier", risk["tier"]).withColumn("risk_score", risk["score"])
+
+
 def review_id(*key: Column) -> Column:
     """The same id for the same natural key on every run."""
     return F.sha2(F.concat_ws("\x1f", *key), 256)
