@@ -35,14 +35,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """``df`` written once to the shared folder and read from there.
 
     This cuts the lineage: a lost executor costs a reread of files and no recomputation.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftloom_path = path
     return out
