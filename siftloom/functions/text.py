@@ -112,8 +112,18 @@ def _card(m: Column) -> Column:
     return F.length(digits).between(15, 16) & F.call_function("luhn_check", digits)
 
 
+def _may_hold(kind: str, pattern: str, c: Column) -> Column:
+    """What costs little to test and every text has in which the pattern is found."""
+    if kind == "PERSON":
+        return c.contains("님" if "님" in pattern else "씨" if "씨" in pattern else "name is")
+    return {"URL": c.contains("://"), "EMAIL": c.contains("@")}.get(kind, F.translate(c, "- ", "").rlike(r"\d{4}"))
+
+
 def with_pii(df, text: str, redacted: str = "text_redacted", counts: str = "pii"):
-    """``df`` plus the redacted text and a struct of counts; one projection per rule keeps expressions small."""
+    """``df`` plus the redacted text and a struct of counts; one projection per rule keeps expressions small.
+
+    A rule's pattern runs over the texts that may hold it, and a second time over those that do.
+    """
     df = df.withColumn(redacted, F.col(text))
     names = []
     for k, (kind, pattern) in enumerate(PII):
@@ -121,12 +131,13 @@ def with_pii(df, text: str, redacted: str = "text_redacted", counts: str = "pii"
         names.append((kind, name))
         c = F.col(redacted)
         if kind == "CARD":
-            df = df.withColumn("__found", F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+            df = df.withColumn("__found", F.when(_may_hold(kind, pattern, c), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).when(c.isNotNull(), F.array().cast("array<string>")))
             df = df.withColumn(name, F.size(F.filter("__found", _card)))
             parts = F.zip_with(F.split(c, pattern), F.col("__found"), lambda p, m: F.concat(p, F.when(m.isNull(), "").when(_card(m), "<CARD>").otherwise(m)))
             df = df.withColumn(redacted, F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(c)).drop("__found")
         else:
-            df = df.withColumn(name, F.regexp_count(c, F.lit(pattern))).withColumn(redacted, F.regexp_replace(c, pattern, f"<{kind}>"))
+            df = df.withColumn(name, F.when(_may_hold(kind, pattern, c), F.regexp_count(c, F.lit(pattern))).when(c.isNotNull(), 0))
+            df = df.withColumn(redacted, F.when(F.col(name) > 0, F.regexp_replace(c, pattern, f"<{kind}>")).otherwise(c))
     total = {t: reduce(lambda a, b: a + b, [F.col(n) for kind, n in names if kind == t]) for t in PII_TYPES}
     return df.withColumn(counts, F.struct(*[total[t].cast("long").alias(t) for t in PII_TYPES])).drop(*[n for _, n in names])
 
