@@ -90,14 +90,14 @@ BATCH_ROWS = 256
 def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with small batches, so that a few of them fit any worker's memory.
 
-    Spark bounds what it sends at once by bytes; here it is cut further, without a copy.
+    The size of batches is a setting of sessions. The result is therefore bound to a copy of the
+    session, whose other settings are those of now; the caller's session stays as it is.
     """
-    def small(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH_ROWS):
-                yield b.slice(at, BATCH_ROWS)
-
-    return df.mapInArrow(lambda batches: run(small(batches)), schema)
+    spark = df.sparkSession
+    copy = spark._jsparkSession.cloneSession()
+    copy.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy, df._jdf.logicalPlan())
+    return DataFrame(bound, spark).mapInArrow(run, schema)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
