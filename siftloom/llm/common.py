@@ -87,14 +87,23 @@ def sent_if_small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
 BATCH_ROWS = 256
 
 
+#: A copy of each session that has used ``in_arrow``, by the session's name.
+_COPIES: dict = {}
+
+
 def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with small batches, so that a few of them fit any worker's memory.
 
     The size of batches is a setting of sessions. The result is therefore bound to a copy of the
-    session, whose other settings are those of now; the caller's session stays as it is.
+    session, which takes over all other settings of now; the caller's session stays as it is. There
+    is one copy a session, since each session has Python workers of its own.
     """
     spark = df.sparkSession
-    copy = spark._jsparkSession.cloneSession()
+    own = spark._jsparkSession
+    copy = _COPIES.get(own.sessionUUID())
+    if copy is None:
+        copy = _COPIES[own.sessionUUID()] = own.cloneSession()
+    copy.sessionState().conf().settings().putAll(own.sessionState().conf().settings())
     copy.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     bound = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copy, df._jdf.logicalPlan())
     return DataFrame(bound, spark).mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 import pyarrow as pa
 
+from siftloom.llm import common
 from siftloom.llm.common import BATCH_ROWS, in_arrow, new_path, sent_if_small, written
 
 
@@ -15,6 +16,12 @@ def test_small_batches_leave_the_session_alone(spark):
     got = [r.n for r in out.collect()]
     assert max(got) <= BATCH_ROWS and sum(got) == 5000 and spark.conf.get(name) == before
     assert spark.range(5000).coalesce(1).mapInArrow(sizes, "n long").count() == 1
+    # other settings are taken over, and there is one copy of the session
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert in_arrow(spark.range(10).groupBy("id").count(), sizes, "n long").sparkSession is spark
+    plan = in_arrow(spark.range(10).repartition("id"), sizes, "n long")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert ", 3)" in plan and len(common._COPIES) == 1
     # the result joins, and is written, like any other table
     both = out.join(spark.range(300).withColumnRenamed("id", "n"), "n")
     assert written(both, "t").count() == len(got)
