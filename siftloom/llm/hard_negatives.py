@@ -269,9 +269,11 @@ def search(chunks: DataFrame, blocks: DataFrame, space: Space, k: int, same: boo
 
 
 def _nearest(space: Space, a: Asks) -> np.ndarray:
-    """Radius of the k-th result, or twice the radius so far as long as there is none; beyond all rows it stays."""
+    """Radius of the k-th result, or twice the radius so far, from a copy of the anchor on, as long as there is none; beyond all rows it stays."""
     all_rows = np.sqrt(a.own) + np.sqrt(space.norm) + space.slack
-    end = np.where(a.floor[:, 0] > NONE, space.distance(a.own, a.floor[:, 0].astype(np.float64)) + space.slack, np.maximum(2 * a.wanted, np.sqrt(space.norm) / 8))
+    copy = space.distance(a.own, a.own)
+    more = np.maximum(copy + 2 * (a.wanted - copy), copy + np.sqrt(space.norm) / 32)
+    end = np.where(a.floor[:, 0] > NONE, space.distance(a.own, a.floor[:, 0].astype(np.float64)) + space.slack, more)
     return np.minimum(end, all_rows)
 
 
@@ -313,6 +315,8 @@ def mine(vectors: DataFrame, key: str = "vec_id", label: str = "label", embeddin
 
     rows = in_arrow(rows, pack, "vec_id long, label long, dim int, x binary").distinct()
     rows = written(rows.withColumn("h", F.xxhash64("x")), "rows")
+    if not rows.where(anchors).limit(1).count():
+        return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     copies = F.row_number().over(Window.partitionBy("label", "x").orderBy("vec_id"))
     kept = written(rows.withColumn("copy", copies).where(F.col("copy") <= most).drop("copy"), "kept")
     space = fitted(kept, float(norm))
@@ -327,8 +331,10 @@ def mine(vectors: DataFrame, key: str = "vec_id", label: str = "label", embeddin
 
     def first(c: dict) -> dict:
         n = len(c["vec_id"])
+        own = np.array([(np.frombuffer(x, "<i4").astype(np.float64) ** 2).sum() for x in c["x"]])
+        start = space.distance(own, own) + np.sqrt(space.norm) / 32 + space.slack
         return {
-            "dim": c["dim"][0], "x": b"".join(c["x"]), "ask": _bytes(c["vec_id"], "<i8"), "label": _bytes(c["label"], "<i8"), "seen": _bytes(full(n, -1.0), "<f8"), "wanted": _bytes(full(n, space.slack), "<f8"),
+            "dim": c["dim"][0], "x": b"".join(c["x"]), "ask": _bytes(c["vec_id"], "<i8"), "label": _bytes(c["label"], "<i8"), "seen": _bytes(full(n, -1.0), "<f8"), "wanted": _bytes(start, "<f8"),
             "near": _bytes(full(n, 0.0), "<f8"), "low": _bytes(full(n, NONE), "<i8"), "high": _bytes(full(n, np.iinfo(np.int64).max), "<i8"), "floor": _bytes(full(n, NONE), "<i8"),
         }
 
