@@ -93,6 +93,13 @@ def _code(dim: int, words: int, threshold: float) -> CapFilters:
     return CapFilters.drawn(dim, words, threshold)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Each is brought near 1 by a power of two first, so that no square under- or overflows."""
+    x = x.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _blocks(rows: list[tuple], cosine: float, kind: str, small: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(classes, ids, weighted links, label) of one filter's cell; rows are (filter, i, j, part, id, n, vector, filters, class)."""
     if len(rows) < 2:
@@ -100,8 +107,7 @@ def _blocks(rows: list[tuple], cosine: float, kind: str, small: bool) -> Iterato
     here, i, j = rows[0][:3]
     left = np.array([r[3] == i for r in rows])
     ids, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-    x = np.array([np.frombuffer(r[6], kind) for r in rows]).astype(np.float64)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(np.array([np.frombuffer(r[6], kind) for r in rows]))
     near = x @ x.T >= cosine
     np.fill_diagonal(near, False)
     if i != j:
@@ -140,13 +146,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     Equal vectors are merged first and counted with their number. Null vectors, zero vectors and
     vectors with null or non-finite components link with nothing, nor do vectors of different
     dimension or rows with a null id (whose component_id and kept are null). Rows that repeat an
-    id are one node of the components. Other columns are left out; an empty table gives an empty one.
+    id are one node of the components. Very short and very long vectors keep their direction. Other columns are left out; an empty table gives an empty one.
     """
     single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
     kind, item = ("<f4", "float") if single else ("<f8", "double")
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{item}>").alias("v"))
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.forall("v", lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: F.coalesce(x != 0, F.lit(False))), F.lit(False))
-    fine = fine & F.coalesce(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) < float("inf"), F.lit(False))
     rows = rows.select("vec_id", F.when(fine, F.transform("v", lambda x: (x + F.lit(0.0)).cast(item))).alias("v")).withColumn("dim", F.size("v"))
     digest = F.when(F.col("v").isNotNull(), F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))
     rows = written(rows.withColumn("digest", digest), "vectors")
@@ -165,7 +170,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
         for b in batches:
             ids, n, dim, v, own, words, least = (b.column(k) for k in range(7))
             x = [np.array(t, dtype=np.float64) for t in v.to_pylist()]
-            lists = [_code(*c).decode(t / np.linalg.norm(t)) for *c, t in zip(dim.to_pylist(), words.to_pylist(), least.to_pylist(), x, strict=True)]
+            lists = [_code(*c).decode(_unit(t[None, :])[0]) for *c, t in zip(dim.to_pylist(), words.to_pylist(), least.to_pylist(), x, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, n, dim, pa.array([t.astype(kind).tobytes() for t in x], pa.binary()), pa.array([f.astype("<i4" if small else "<i8").tobytes() for f in lists], pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64())), own], names=["id", "n", "dim", "x", "list", "filters", "class"])
 
     listed = written(in_arrow(classes.join(sent_if_small(codes), "dim").select("id", "n", "dim", "v", "class", "words", "threshold"), decode, "id long, n long, dim int, x binary, list binary, filters array<long>, class long"), "lists")

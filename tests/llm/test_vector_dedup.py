@@ -70,3 +70,15 @@ def test_list_decoding_finds_exactly_the_exceeding_filters():
 
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_lengths_that_underflow_or_overflow(spark):
+    far = [[1e-170] * 8, [5.0, *[0.5] * 7], [*[0.5] * 7, 5.0]]
+    big = [[1e200] * 8, [5e-324] * 8, [3e-320] * 7 + [2.9e-320], [1.7e308] * 8, [-1e200] * 8, [5e250, *[5e249] * 7], [0.0] * 8]
+    rows = list(enumerate(far + big))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = [np.array([v * 10.0**-300 for v in np.array(r, np.longdouble)]) for _, r in rows]
+    unit = [v / np.sqrt((v * v).sum()) if v.any() else v for v in (v / max(abs(v).max(), np.longdouble(0) + np.finfo(np.longdouble).tiny) for v in x)]
+    want = {i: sum(i != j and float(unit[i] @ unit[j]) >= 0.95 for j in range(len(rows))) for i in range(len(rows))}
+    assert {r.vec_id: r.n_links for r in near_vectors(df).collect()} == want
+    assert want[0] == 4 and want[1] == 1 and want[2] == 0
