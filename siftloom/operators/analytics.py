@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import trend, window_counts
 from ..functions.text import risk_rank, rounded, trimmed
+from ..plans.tables import numbered, running, saved
 
 
 def listed(c: Column) -> Column:
@@ -124,16 +125,34 @@ def psi(base: DataFrame, current: DataFrame) -> DataFrame:
 def nearest_rank(df: DataFrame, key: str, value: str, points: dict[str, float]) -> DataFrame:
     """Per key the values at sorted index min(n - 1, floor(p * n)), the mean and the count.
 
-    Ranks come from a count of equal values and a running sum over them, so a key with many rows
-    is aggregated before its distinct values meet.
+    Equal values are counted first; ranks are running sums over the counts by ranges of the value,
+    so a key with many distinct values is ranked in many tasks.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    counts = numbered(counts, "v").drop("row")
     total = counts.groupBy(key).agg(F.sum("n").alias("total"), rounded(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 3).alias("mean"))
-    upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy(key).orderBy("v"))).join(total, key)
+    upto = running(counts, key, "v", "bucket", "n").withColumn("upto", F.col("before") + F.col("n")).join(total, key)
     at = lambda p: F.min(F.when(F.col("upto") > F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total"))), F.col("v")))
     return upto.groupBy(key).agg(F.first("total").alias("n"), F.first("mean").alias("mean"), *[at(p).alias(name) for name, p in points.items()])
 
 
+def impact(calls: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
+    """(source, reached, hop): what calls the sources, at first or second hand and so on, with the fewest calls between.
+
+    ``calls`` has src and dst, ``sources`` id. A round joins only what the round before reached for the first
+    time, so cycles end and hubs are met once a source; a source does not reach itself. Null ends are ignored.
+    """
+    back = saved(calls.select(F.col("dst").alias("reached"), F.col("src").alias("caller")).where("reached is not null and caller is not null and reached <> caller").distinct(), "calls")
+    new = saved(sources.where("id is not null").select(F.col("id").alias("source"), F.col("id").alias("reached"), F.lit(0).alias("hop")).distinct(), "hop")
+    seen = new
+    while (hops is None or hops > 0) and new.limit(1).count():
+        hops = None if hops is None else hops - 1
+        step = new.join(back, "reached").select("source", F.col("caller").alias("reached"), (F.col("hop") + 1).alias("hop")).distinct()
+        new = saved(step.join(seen, ["source", "reached"], "left_anti"), "hop")
+        seen = seen.unionByName(new)
+    return seen.where("hop > 0")
+
+
 def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(rounded(part / whole, 3))
 

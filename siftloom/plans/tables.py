@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of ids may be sent to all executors.
@@ -63,3 +64,29 @@ def spread(edges: DataFrame, a: str, b: str) -> DataFrame:
         label = new
         if not moved:
             return label
+
+
+def numbered(df: DataFrame, *order: str, row: str = "row", bucket: str = "bucket") -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 0, and the number of the range of the order that it is in.
+
+    Rows are dealt by ranges, so no task sorts them all: a range's rows are numbered from the number of
+    rows before the range. Rows that are equal in ``order`` may land in any order within their range.
+    """
+    ranges = saved(df.repartitionByRange(*order).withColumn(bucket, F.spark_partition_id()), "ranges")
+    before = W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.groupBy(bucket).agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = F.row_number().over(W.partitionBy(bucket).orderBy(*order)) - 1
+    return ranges.withColumn("__at", within).join(F.broadcast(starts), bucket).withColumn(row, F.col("__at") + F.col("__start")).select(*df.columns, row, bucket)
+
+
+def running(events: DataFrame, key: str, order: str, bucket: str, n: str) -> DataFrame:
+    """``events`` with ``before``: the sum of ``n`` over the events of ``key`` that come before, those of the smaller ``n`` first of equal ``order``.
+
+    ``bucket`` is a range of the order (see ``numbered``). Sums are kept per key and range, so a key with
+    many events is worked out in many tasks.
+    """
+    sums = events.groupBy(key, bucket).agg(F.sum(n).alias("__n"))
+    prior = F.coalesce(F.sum("__n").over(W.partitionBy(key).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("__prior", prior).drop("__n")
+    own = F.coalesce(F.sum(n).over(W.partitionBy(key, bucket).orderBy(order, n).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return events.withColumn("__own", own).join(sums, [key, bucket]).withColumn("before", F.col("__own") + F.col("__prior")).drop("__own", "__prior")

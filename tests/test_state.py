@@ -221,7 +221,7 @@ def test_drift_and_demand(spark):
 
 
 def test_events_and_module_summary(spark):
-    a = spark.createDataFrame([("r1", "g", "new", 1), ("r2", "g", "embedding", 2), ("r3", "g", "resolution", 2)], G.ASSIGNED)
+    a = spark.createDataFrame([("r1", "g", "new", 1), ("r2", "g", "embedding", 2), ("r3", "g", "resolution", 2)], "review_id string, group_id string, matched_by string, corroboration long")
     k = spark.createDataFrame([("g", "g"), ("h", "g")], "id string, keep string")
     assert [(r.group_id, r.event_type) for r in G.events(a, k).collect()] == [("g", "CREATED"), ("g", "MEMBER_ADDED"), ("g", "STATUS_CHANGED"), ("h", "MERGED")]
     arts = spark.createDataFrame([("m", "file", "low"), ("m", "symbol", "high"), ("m", "symbol", "medium"), ("n", "file", "low")], "module string, kind string, risk_tier string")
