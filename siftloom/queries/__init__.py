@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, insight, state, texts, vectors
+from . import analytics, insight, state, stored, texts, vectors
 
-_MODULES = (texts, vectors, analytics, state, insight)
+_MODULES = (texts, vectors, analytics, state, insight, stored)
 
 
 def queries() -> dict:
