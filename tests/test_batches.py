@@ -23,13 +23,13 @@ def outcome(rows):
 
 
 def test_batches_equal_one_batch(spark, tmp_path):
-    texts = ["the app crashes with a fatal error whenever I open the payment page after the last update and then the checkout button is broken so I cannot pay for my order", "login is broken and shows an error", "please add a dark mode to the settings screen", "great app, works perfectly every day", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    texts = ["login fails with an error message since version two because my saved password keeps being rejected quickly", "login is broken and shows an error", "please add a dark mode to the settings screen", "great app, works perfectly every day", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
     rng = random.Random(3)
     rows = []
     for i in range(40):
         words = rng.choice(texts).split()
         if rng.random() < 0.5 and len(words) > 3:
-            words[rng.randrange(len(words))] = rng.choice(["now", "today", "yesterday evening"])
+            words[rng.randrange(len(words))] += "s"
         rows.append((i, " ".join(words)))
     whole = R.process(raw(spark, rows))
     store = Store(spark, str(tmp_path))
