@@ -37,8 +37,7 @@ def fit(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 def by_triples(texts: DataFrame, profiles: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, language): the profile whose ranks differ least from the text's, summed over the text's triples.
 
-    A triple that a profile lacks counts ``TOP``. Texts without triples, and all texts if there are no
-    profiles, have no row. Ties go to the smaller name. Keys are unique. Texts are counted triple by triple in
+    A triple that a profile lacks counts ``TOP``. Texts that share no triple with any profile have no row. Ties go to the smaller name. Keys are unique. Texts are counted triple by triple in
     map-side sums; profiles have ``TOP`` rows a language and are sent to all executors.
     """
     grams = texts.select(F.col(key).alias("id"), F.explode(triples(F.col(text))).alias("gram"))
@@ -48,8 +47,9 @@ def by_triples(texts: DataFrame, profiles: DataFrame, key: str = "id", text: str
     table = F.broadcast(profiles.withColumnRenamed("rank", "r").select("lang", "gram", F.col("r").alias("rank")).groupBy("gram").agg(known))
     j = own.join(table, "gram", "left").join(langs)
     apart = F.transform("langs", lambda g: F.struct(g.alias("lang"), F.coalesce(F.abs(F.element_at("ranks", g) - F.col("rank")), F.lit(TOP)).alias("d")))
-    each = j.select("id", F.explode(apart).alias("x")).groupBy("id", F.col("x.lang").alias("lang")).agg(F.sum("x.d").alias("d"))
-    return each.groupBy("id").agg(F.min_by("lang", F.struct("d", "lang")).alias("language")).withColumnRenamed("id", key)
+    each = j.select("id", F.explode(apart).alias("x")).groupBy("id", F.col("x.lang").alias("lang")).agg(F.sum("x.d").alias("d"), F.count("*").alias("n"))
+    best = each.groupBy("id").agg(F.min_by("lang", F.struct("d", "lang")).alias("language"), F.min("d").alias("d"), F.first("n").alias("n"))
+    return best.where(F.col("d") < TOP * F.col("n")).select("id", "language").withColumnRenamed("id", key)
 
 
 def with_language(texts: DataFrame, profiles: DataFrame, key: str = "id", text: str = "text", into: str = "lang") -> DataFrame:

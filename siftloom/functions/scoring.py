@@ -100,6 +100,19 @@ def effort(kind: Column, modules: Column, is_new: Column, blast: Column) -> Colu
     return F.struct(size.alias("size"), weeks.alias("weeks"), why.alias("rationale"))
 
 
+#: Module names in texts. Fixed values.
+MODULE_PATH = r"(?<![A-Za-z0-9_])(app/[a-z0-9-]+|components/[a-z0-9-]+|app|components|lib|hooks)(?![A-Za-z0-9_])"
+QUOTED_NAME = "`([a-zA-Z0-9/_-]{2,40})`"
+
+
+def named_modules(module: Column, connection: Column, body: Column, connections: Column) -> Column:
+    """All names in a placement that may be modules: what ``gap_verdict`` has to know of the real ones."""
+    norm = lambda x: F.trim(F.regexp_replace(x, r"[`/]+$", ""))
+    text = F.concat_ws("\n", module, connection, body)
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (MODULE_PATH, QUOTED_NAME)]
+    return F.array_distinct(F.concat(F.array(module), F.transform(F.concat(F.coalesce(connections, F.array().cast("array<string>")), *found), norm)))
+
+
 def gap_verdict(placement: Column, module: Column, connection: Column, body: Column, connections: Column, modules: Column) -> Column:
     """struct(verdict, referenced, invented, module_exists) of a placement against the real ``modules``.
 
@@ -108,8 +121,8 @@ def gap_verdict(placement: Column, module: Column, connection: Column, body: Col
     norm = lambda x: F.trim(F.regexp_replace(x, r"[`/]+$", ""))
     given = F.transform(connections, norm)
     text = F.concat_ws("\n", module, connection, body)
-    paths = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])(app/[a-z0-9-]+|components/[a-z0-9-]+|app|components|lib|hooks)(?![A-Za-z0-9_])"), F.lit(1)), norm)
-    quoted = F.transform(F.regexp_extract_all(text, F.lit("`([a-zA-Z0-9/_-]{2,40})`"), F.lit(1)), norm)
+    paths = F.transform(F.regexp_extract_all(text, F.lit(MODULE_PATH), F.lit(1)), norm)
+    quoted = F.transform(F.regexp_extract_all(text, F.lit(QUOTED_NAME), F.lit(1)), norm)
     quoted = F.filter(quoted, lambda t: (t != "") & (t.contains("/") | F.array_contains(modules, t)))
     read = F.array_distinct(F.concat(paths, quoted))
     structured = F.coalesce(F.size(connections) > 0, F.lit(False))

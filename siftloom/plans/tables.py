@@ -32,7 +32,17 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once and read again: no lineage, and no recomputation when an executor is lost."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of saved tables that nothing reads any more, such as those of former rounds."""
+    for df in tables:
+        if path := getattr(df, "_saved_at", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Bytes of a table's files up to which it may be sent.
@@ -61,8 +71,10 @@ def spread(edges: DataFrame, a: str, b: str) -> DataFrame:
         jump = step.alias("s").join(step.alias("t"), F.col("s.root") == F.col("t.node"), "left")
         new = saved(jump.select(F.col("s.node").alias("node"), F.least("s.root", F.coalesce("t.root", "s.root")).alias("root")), "labels")
         moved = new.join(label.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
+        forget(label)
         label = new
         if not moved:
+            forget(e)
             return label
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.text import rounded
 from ..operators.similarity import first_come, hamming_codes, nearest
+from ..plans.tables import saved, sent_if_small
 from ..sources.tables import load
 
 
@@ -71,7 +72,7 @@ def centroid_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     first = v.groupBy("label").agg(F.min_by("v", "id").alias("rep"))
     far = 1 - V.cosine(F.col("v"), F.col("rep"))
-    return v.join(F.broadcast(first), "label").groupBy("label").agg(F.count("*").alias("n"), rounded(F.max(far), 4).alias("radius"))
+    return v.join(sent_if_small(saved(first, "first")), "label").groupBy("label").agg(F.count("*").alias("n"), rounded(F.max(far), 4).alias("radius"))
 
 
 RADIUS_SQL = """

@@ -45,3 +45,8 @@ def seeded(spark: SparkSession, features: list[dict], artifacts: list[dict]) ->
 def review_id(*key: Column) -> Column:
     """The same id for the same natural key on every run."""
     return F.sha2(F.concat_ws("\x1f", *key), 256)
+
+
+def at_path(doc: Column, path: str, kind: str = "string") -> Column:
+    """The value at a JSON path (names with dots, places as [n]) as ``kind``; null where the path or the cast fails."""
+    return F.get_json_object(doc, f"$.{path}").try_cast(kind)
