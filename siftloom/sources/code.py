@@ -13,10 +13,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vectors import local_embedding
+from ..plans.tables import saved
+from .store import Runs, Store
 
 #: Folders that are not source code, and the largest file that is read. Fixed values.
 SKIPPED = "node_modules dist .git coverage .next public styles .github vendor build out target .venv .turbo".split()
@@ -223,7 +226,7 @@ class Graph:
 def scan(files: DataFrame) -> Graph:
     """Nodes (key, kind, path, module, symbol, symbol_kind, signature, description, content_hash, risk_tier,
     risk_score), edges (src, dst, kind) without repeats, and features (slug, label, description, parent, member)."""
-    facts = _facts(files).cache()
+    facts = saved(_facts(files), "facts")
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
     f = files.select("path", T.module_of(directory).alias("module"), T.content_hash(F.concat("path", "content")).alias("content_hash"))
     none = F.lit(None).cast("string")
@@ -255,3 +258,39 @@ def scan(files: DataFrame) -> Graph:
     worthy = symbols.where(F.col("symbol_kind").isin("function", "class", "var") & F.col("symbol").rlike("^[A-Z]") & ~F.col("module").rlike(PLAIN_MODULES) & ~F.col("symbol").isin(*NOT_FEATURES))
     leaf = worthy.select(F.concat(slug(F.col("module")), F.lit("."), "symbol").alias("slug"), F.col("symbol").alias("label"), F.concat("symbol", F.lit(" ("), "module", F.lit("/"), F.regexp_extract("path", "[^/]*$", 0), F.lit("). "), "signature").alias("description"), slug(F.col("module")).alias("parent"), F.array("key", "path").alias("members"))
     return Graph(nodes, edges, whole.unionByName(leaf))
+
+
+TABLES = ("code_nodes", "code_edges", "code_features")
+
+
+def rebuild(store: Store, files: DataFrame, repo: str = "app") -> None:
+    """Scan ``files`` and replace the graph of ``repo`` in ``store``: nodes, edges and features in one commit.
+
+    code_nodes has the columns of ``scan`` with repo, v (the embedding of the description) and feature_ids (slugs
+    of all features that a node is a member of). code_features has those found in code, with repo, origin and
+    v; features of other origin, and all rows of other repositories, stay. A node whose description is as it was
+    keeps its vector. If the scan or the writing fails, the former graph stays and the ledger of runs has the error.
+    """
+    with Runs(store.spark, store.root).run(f"code {repo}"):
+        g = scan(files)
+        ids = g.features.select("slug", F.explode("members").alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("slug")).alias("feature_ids"))
+        nodes = g.nodes.join(ids, "key", "left").withColumn("feature_ids", F.coalesce("feature_ids", F.array().cast("array<string>")))
+
+        def replaced(table: str, version: str, rows: DataFrame, stays: Column | None = None) -> DataFrame:
+            rows = rows.withColumn("repo", F.lit(repo))
+            if not version:
+                return rows
+            other = F.col("repo") != repo
+            return store.read(table, version=version).where(other if stays is None else other | stays).unionByName(rows, allowMissingColumns=True)
+
+        def made(last: dict[str, str]) -> dict[str, DataFrame]:
+            had = store.read("code_nodes", "repo string, key string, description string, v array<float>", last["code_nodes"] or None).where(F.col("repo") == repo)
+            own = nodes.join(had.select("key", "description", "v"), ["key", "description"], "left")
+            own = own.where("v is not null").unionByName(own.where("v is null").withColumn("v", local_embedding("description")))
+            features = g.features.select("*", F.lit("code_derived").alias("origin"), F.lit("grounded").alias("state"), local_embedding("description").alias("v"))
+            return {
+                "code_nodes": replaced("code_nodes", last["code_nodes"], own), "code_edges": replaced("code_edges", last["code_edges"], g.edges),
+                "code_features": replaced("code_features", last["code_features"], features, F.col("origin") != "code_derived"),
+            }
+
+        store.retried(TABLES, made)

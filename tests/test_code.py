@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from siftloom.operators import insight as I
 from siftloom.operators.analytics import module_blast, module_imports
-from siftloom.sources.code import parse, read_files, scan
-from siftloom.sources.store import Store
+from siftloom.sources.code import TABLES, parse, read_files, rebuild, scan
+from siftloom.sources.store import Runs, Store
 from siftloom.streaming.incremental import unique_reviews, upsert_stream, windowed_counts
 
 FILES = {
@@ -33,6 +33,32 @@ def graph(spark, tmp_path_factory):
     return scan(read_files(spark, str(root)))
 
 
+def test_rebuild_replaces_one_repository_at_once(spark, graph, tmp_path):
+    store = Store(spark, str(tmp_path))
+    files = spark.createDataFrame([(k, v) for k, v in FILES.items() if k.startswith("src/shop/") and "test" not in k] + [("src/hooks/money.ts", FILES["src/hooks/money.ts"])], "path string, content string")
+    rebuild(store, files)
+    nodes = {r.key: r for r in store.read("code_nodes").collect()}
+    assert set(nodes) == {r.key for r in graph.nodes.collect()} and all(r.repo == "app" and abs(sum(x * x for x in r.v) - 1) < 1e-4 for r in nodes.values())
+    members = {}
+    for f in store.read("code_features").collect():
+        for m in f.members:
+            members.setdefault(m, set()).add(f.slug)
+    assert any(len(v) > 1 for v in members.values()) and all(set(r.feature_ids) == members.get(k, set()) for k, r in nodes.items())
+    store.append("code_features", store.read("code_features").limit(1).withColumn("slug", F.lit("gap:app:x")).withColumn("origin", F.lit("review_emergent")))
+    rebuild(store, files.where("path like '%money%'"), "other")
+    counts = lambda: {t: {r.repo: r["count"] for r in store.read(t).groupBy("repo").count().collect()} for t in TABLES}
+    before = counts()
+    # a rebuild that fails midway leaves the former graph, and its run row
+    broken = files.withColumn("content", F.expr("if(path like '%basket%', raise_error('no such blob'), content)"))
+    with pytest.raises(Exception, match="no such blob"):
+        rebuild(store, broken)
+    assert counts() == before and before["code_nodes"]["app"] == len(nodes)
+    assert sorted((r.name, r.status) for r in Runs(spark, str(tmp_path)).table().collect()) == [("code app", "done"), ("code app", "failed"), ("code other", "done")]
+    rebuild(store, files.where("path like '%money%'"))
+    after = counts()
+    assert after["code_nodes"]["app"] == after["code_nodes"]["other"] < len(nodes) and store.read("code_features").where("origin = 'review_emergent'").count() == 1
+
+
 def test_edges(graph):
     e = {(r.src, r.dst, r.kind) for r in graph.edges.collect()}
     money = "src/hooks/money.ts"
