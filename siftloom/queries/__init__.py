@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, insight, state, stored, texts, vectors
+from . import analytics, insight, records, state, stored, texts, vectors
 
-_MODULES = (texts, vectors, analytics, state, insight, stored)
+_MODULES = (texts, vectors, analytics, state, insight, stored, records)
 
 
 def queries() -> dict:
