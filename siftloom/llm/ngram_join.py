@@ -36,14 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import components, forget, in_arrow, shuffle_partitions, written
+from .common import components, in_arrow, picked, scratch, shuffle_partitions, written
 
 #: Members from which on a block is hot, and keys that a batch gathers before it is sent.
 HOT = 32
 FLUSH_KEYS = 250_000
 FLUSH_DOCS = 10_000
-#: Up to this many ids of texts to compare are sent to all executors; more are joined by a shuffle.
-MOST_SENT_IDS = 200_000
 
 U = np.uint64
 #: Odd multipliers of a common 64-bit finaliser. Fixed values.
@@ -262,11 +260,7 @@ def _close(x: str, y: str, sim: Similarity) -> Column:
 def _verified(docs: DataFrame, pairs: DataFrame, sim: Similarity) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts have the similarity."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ends = written(ends, "ends")
-    few = ends.count() <= MOST_SENT_IDS
-    texts = docs.join(F.broadcast(ends) if few else ends, "id", "left_semi")
-    if few:
-        texts = written(texts, "texts")
+    texts = written(picked(docs, written(ends, "ends"), "id"), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,9 +291,16 @@ def similar_components(docs: DataFrame, sim: Similarity | None = None, key: str
     empty one.
     """
     sim = sim or Similarity()
-    spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    table = written(_sketched(docs, sim, shuffle_partitions(spark)), "sketches")
+    with scratch() as keep:
+        rows, root = (keep(x) for x in _components(docs, sim))
+    out = rows.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles")).join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def _components(docs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (id, n) of all rows, and (node, root) of those that have a link."""
+    table = written(_sketched(docs, sim, shuffle_partitions(docs.sparkSession)), "sketches")
     rows = table.where(f"kind = {DOC}").select(F.col("a").alias("id"), "n", "fp1", "fp2", "sketch", "spare")
     sets = rows.where("sketch is not null")
     members = table.where(f"kind = {MEMBER}").select(F.col("a").alias("key"), F.col("b").alias("id"))
@@ -331,7 +332,4 @@ def similar_components(docs: DataFrame, sim: Similarity | None = None, key: str
     new = written(_verified(docs, more, sim), "links")
     if new.limit(1).count():
         root = written(components(links.unionByName(new)), "roots")
-    for t in (placed, left, more):
-        forget(t)
-    out = rows.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles")).join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    return written(rows.select("id", "n"), "sizes"), root

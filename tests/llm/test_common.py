@@ -34,3 +34,29 @@ def test_tables_are_sent_up_to_rows_and_bytes(spark, monkeypatch):
     monkeypatch.setattr("siftloom.llm.common.MOST_SENT_BYTES", 10)
     assert "broadcast" not in plan(sent_if_small(few))
     assert new_path(spark, "a") != new_path(spark, "a")
+
+
+def test_stages_leave_only_what_their_results_read(spark, tmp_path, monkeypatch):
+    """Intermediate tables of a stage are deleted before the next one runs."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(1, "a b c d e f\nown line"), (2, "A b c d e f\nother words"), (3, None)], "doc_id long, text string")
+    for stage, kept in ((corpus_pipeline.lines, {"gone"}), (corpus_pipeline.near_duplicates, {"again", "gone"})):
+        out = stage(spark, docs, "")
+        assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == kept
+        assert out.count() == 3
+        for p in tmp_path.iterdir():
+            p.rename(p.parent.parent / f"{p.name}-old")
+
+
+def test_rows_are_picked_in_slices_without_a_shuffle(spark, monkeypatch):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    ids = written(spark.range(0, 2000, 7).withColumnRenamed("id", "k"), "t")
+    want = list(range(0, 1000, 7))
+    for most, slices, shuffled in ((1000, 4, False), (100, 4, False), (10, 4, True)):
+        monkeypatch.setattr(common, "MOST_SENT_IDS", most)
+        monkeypatch.setattr(common, "MOST_SLICES", slices)
+        got = common.picked(rows, ids, "k")
+        assert sorted(r.k for r in got.collect()) == want
+        assert ("broadcast" not in got._jdf.queryExecution().logical().toString().lower()) == shuffled
