@@ -17,7 +17,8 @@ Work on pairs stays linear in the number of shared blocks:
 * of a shared block, each member is compared with the smallest id only (a star);
 * then only members of different components that share a block are compared with each other.
   Blocks with more than ``HOT`` members take part there only between sets that have so many
-  hot blocks that the slack doesn't cover them; all others share a further block.
+  hot blocks that the slack doesn't cover them; all others share a further block. A pair that shares
+  many blocks is made under the smallest one that it shares and few others (``once``).
 Candidates pass exact bounds on set sizes and on a folded 512-bit sketch, then the shingles of
 both whole texts are compared.
 """
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import components, in_arrow, picked, scratch, shuffle_partitions, written
+from .common import components, few_of, in_arrow, once, picked, scratch, shuffle_partitions, written
 
 #: Members from which on a block is hot, and keys that a batch gathers before it is sent.
 HOT = 32
@@ -324,9 +325,10 @@ def _components(docs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]
     light = hot.join(covers, ["id", "band"]).groupBy("id", "band").agg(F.max("n_hot").alias("n_hot"), F.min("covered").alias("covered")).where("n_hot <= covered").select("id", "band")
     hot_left = placed.where(f"size > {HOT}").join(light, ["id", "band"], "left_anti").select("key", "id", "root")
     left = placed.where(f"size <= {HOT}").select("key", "id", "root").unionByName(hot_left)
-    left = written(left.join(sets.select("id", "n", "sketch"), "id"), "left")
+    left = left.groupBy("id").agg(F.min("root").alias("root"), F.collect_list("key").alias("keys")).join(sets.select("id", "n", "sketch"), "id")
+    left = written(left.select("id", "root", "n", "sketch", few_of(F.col("keys")).alias("few"), F.explode("keys").alias("key")), "left")
     p, q = left.alias("x"), left.alias("y")
-    more = p.join(q, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.id") > F.col("y.id")) & _close("x", "y", sim))
+    more = p.join(q, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.id") > F.col("y.id")) & _close("x", "y", sim) & once("x.key", "x.few", "y.few"))
     more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
     more = written(more, "more")
     new = written(_verified(docs, more, sim), "links")

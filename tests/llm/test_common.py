@@ -60,3 +60,16 @@ def test_rows_are_picked_in_slices_without_a_shuffle(spark, monkeypatch):
         got = common.picked(rows, ids, "k")
         assert sorted(r.k for r in got.collect()) == want
         assert ("broadcast" not in got._jdf.queryExecution().logical().toString().lower()) == shuffled
+
+
+def test_pairs_of_many_shared_keys_are_made_few_times_and_none_is_lost(spark):
+    from pyspark.sql import functions as F
+
+    from siftloom.llm.common import few_of, once
+
+    rows = [(i, [k for k in range(60) if (k * 7 + i) % 10]) for i in range(12)] + [(90, [5, 70]), (91, [70, 71])]
+    keys = spark.createDataFrame(rows, "id long, keys array<long>").select("id", few_of(F.col("keys")).alias("few"), F.explode("keys").alias("key"))
+    all_pairs = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")))
+    some = all_pairs.where(once("x.key", "x.few", "y.few")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    assert set(some.collect()) == set(all_pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect())
+    assert some.count() * 5 < all_pairs.count()
